@@ -85,17 +85,24 @@ TEMPLATE_TYPE = (
 )
 
 
+def constant_array(entries: list[tuple]) -> str:
+    """SQL text of a constant array of structs, parsed in one go."""
+
+    def word(v) -> str:
+        if v is None:
+            return "NULL"
+        return f"{v!r}D" if isinstance(v, float) else str(v).lower()
+
+    return f"array({','.join('struct(' + ','.join(map(word, e)) + ')' for e in entries)})"
+
+
 def channel_map(modules: DataFrame, first, second, layout: Layout) -> DataFrame:
     """One row per channel from a table of module places (sm, port, slave, febport).
 
     The template of one module has at most as many entries as a front end has channels and travels inside the plan, so
     every module row expands in place: no join and no shuffle, however many modules there are.
     """
-    names = ["offset", "mm", "is_time", "is_energy", "x", "y", "slab"]
-    entries = [
-        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, entry)]) for entry in layout.template(first, second)
-    ]
-    template = F.array(*entries).cast(TEMPLATE_TYPE)
+    template = F.expr(constant_array(layout.template(first, second))).cast(TEMPLATE_TYPE)
     base = (
         F.col("port") * PORT_CHANNELS + F.col("slave") * SLAVE_CHANNELS + F.col("febport") * layout.channels
     )

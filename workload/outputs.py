@@ -81,8 +81,8 @@ def listmode_pairs(spark, sf):
         F.col("f1.energy").alias("energy1"),
         F.col("f2.energy").alias("energy2"),
         F.lit(1.0).alias("amount"),
-        *[F.floor(F.col(f"f{i}.c{a}")).alias(f"{a}Position{i}") for i in (1, 2) for a in "xy"],
-        *[F.floor(F.col(f"f{i}.depth") * 10).alias(f"zPosition{i}") for i in (1, 2)],
+        *[F.floor(F.round(F.col(f"f{i}.c{a}"), 9)).alias(f"{a}Position{i}") for i in (1, 2) for a in "xy"],
+        *[F.floor(F.round(F.col(f"f{i}.depth") * 10, 9)).alias(f"zPosition{i}") for i in (1, 2)],
         F.col("f1.sm").alias("region1"),
         F.col("f2.sm").alias("region2"),
         F.floor(F.col("_dt") / 10000000).alias("dt"),
@@ -94,8 +94,8 @@ def listmode_sql(version: str) -> str:
     fields = {
         "V3": "",
         "V4": ", CAST(floor(dt / 10000000) AS SMALLINT) AS dt",
-        "V5": """, CAST(floor(dt / 10000000) AS SMALLINT) AS dt, CAST(floor(z1 * 10) AS TINYINT) AS zPosition1,
-                 CAST(floor(z2 * 10) AS TINYINT) AS zPosition2""",
+        "V5": """, CAST(floor(dt / 10000000) AS SMALLINT) AS dt, CAST(floor(round(z1 * 10, 9)) AS TINYINT) AS zPosition1,
+                 CAST(floor(round(z2 * 10, 9)) AS TINYINT) AS zPosition2""",
     }[version]
     return with_views(
         "best_a",
@@ -113,8 +113,8 @@ def listmode_sql(version: str) -> str:
                     FROM s a JOIN s b USING (file_id, event_id) WHERE a.side = 1 AND b.side = 2)
             SELECT CAST(event_id AS FLOAT) AS time, CAST(energy1 AS INTEGER) AS energy1,
                    CAST(energy2 AS INTEGER) AS energy2, CAST(1 AS FLOAT) AS amount,
-                   CAST(floor(x1) AS TINYINT) AS xPosition1, CAST(floor(y1) AS TINYINT) AS yPosition1,
-                   CAST(floor(x2) AS TINYINT) AS xPosition2, CAST(floor(y2) AS TINYINT) AS yPosition2,
+                   CAST(floor(round(x1, 9)) AS TINYINT) AS xPosition1, CAST(floor(round(y1, 9)) AS TINYINT) AS yPosition1,
+                   CAST(floor(round(x2, 9)) AS TINYINT) AS xPosition2, CAST(floor(round(y2, 9)) AS TINYINT) AS yPosition2,
                    n_nationkey * 10 + n_regionkey AS pair{fields}
             FROM p LEFT JOIN nation ON n_nationkey = r1 AND n_regionkey = r2""",
     )

@@ -70,15 +70,15 @@ def t03(spark, sf):
         + time_ranked(2, 3)
         + """, v AS (SELECT u.*, coalesce(skew, 0) AS s FROM u LEFT JOIN skew USING (channel)
                      QUALIFY row_number() OVER (PARTITION BY event_id, side ORDER BY k DESC) = 1)
-             SELECT event_id, round(max(time) FILTER (WHERE side = 1) - max(time) FILTER (WHERE side = 2)
-                      - (max(s) FILTER (WHERE side = 1) - max(s) FILTER (WHERE side = 2)), 3) AS dt,
+             SELECT event_id, max(time) FILTER (WHERE side = 1) - max(time) FILTER (WHERE side = 2)
+                      - (max(s) FILTER (WHERE side = 1) - max(s) FILTER (WHERE side = 2)) AS dt,
                     max(energy) FILTER (WHERE side = 1) AS energy1, max(energy) FILTER (WHERE side = 2) AS energy2
              FROM v GROUP BY event_id""",
     ),
 )
 def t04(spark, sf):
     out = timing.dt_nth(hits_b(spark, sf), skew_table(spark, sf), 2, 3)
-    return out.select("event_id", F.round("dt", 3).alias("dt"), "energy1", "energy2")
+    return out.select("event_id", "dt", "energy1", "energy2")
 
 
 @query(
