@@ -14,20 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitframe.functions.electronics import PORT_CHANNELS, SLAVE_CHANNELS
-from hitframe.maps.channel_map import layout_of
+from hitframe.maps.channel_map import constant_array, layout_of
 from hitframe.maps.config import MapConfig
 from hitframe.operators.features import WEIGHT_OFFSET
 
+PLACES = "array<struct<mm:int,is_time:boolean,is_energy:boolean,x:double,y:double,slab:int>>"
+
 # Largest module table carried inside a plan.
 MAX_MODULE_SLOTS = 100_000
 
 
-def _constant(values: list, kind: str) -> Column:
-    """Constant array from a delimited text, folded once by the optimizer; -1 stands for a missing number."""
-    text = ",".join(str(-1 if v is None else v).lower() for v in values)
-    return F.split(F.lit(text), ",").cast(f"array<{kind}>")
-
-
 @dataclass(frozen=True)
 class ChannelArrays:
     """Module number by front-end slot and the module template by channel remainder."""
@@ -50,39 +46,30 @@ class ChannelArrays:
         for entry in layout_of(config, geometry).template(config.first, config.second):
             if not 0 <= entry[0] < config.channels or places[entry[0]] is not None:
                 raise ValueError(f"channel {entry[0]} is outside the front end or listed twice")
-            places[entry[0]] = entry
+            places[entry[0]] = entry[1:]
         return cls(config.channels, [slots.get(i) for i in range(max(slots) + 1)], places)
 
-    def _column(self, field: int, kind: str) -> Column:
-        missing = "false" if kind == "boolean" else None
-        return _constant([missing if p is None else p[field] for p in self.places], kind)
-
     def enrich(self, hits: Column | str, unmapped: str = "drop") -> Column:
-        """Hit array with module, type and position; unmapped hits are dropped, kept with NULLs, or an error."""
-        modules = _constant(self.modules, "int")
-        fields = [("mm", 1, "int"), ("is_time", 2, "boolean"), ("is_energy", 3, "boolean"),
-                  ("x", 4, "double"), ("y", 5, "double"), ("slab", 6, "int")]
-        columns = {name: self._column(i, kind) for name, i, kind in fields}
-        known_place = _constant([p is not None for p in self.places], "boolean")
+        """Hit array with module and ``place`` (minimodule, types, position, slab) of every channel.
+
+        Unmapped hits are dropped, kept with NULLs, or an error.
+        """
+        bits = self.channels.bit_length() - 1
+        if self.channels != 1 << bits:
+            raise ValueError("channels per front end must be a power of two")
+        slots = ",".join("NULL" if sm is None else str(sm) for sm in self.modules)
+        modules = F.expr(f"array({slots})").cast("array<int>")
+        places = F.expr(constant_array(self.places)).cast(PLACES)
 
         def describe(hit: Column) -> Column:
-            slot = F.floor(hit["channel"] / self.channels).cast("int")
-            place = F.pmod(hit["channel"], F.lit(self.channels))
-            sm = F.nullif(F.get(modules, slot), F.lit(-1))
-            known = sm.isNotNull() & F.get(known_place, place)
-            got = {name: F.when(known, F.get(values, place)) for name, values in columns.items()}
+            sm = F.get(modules, F.shiftright(hit["channel"], bits))
+            place = F.get(places, hit["channel"].bitwiseAND(self.channels - 1))
             return F.struct(
                 hit["time"].alias("time"),
                 hit["energy"].cast("double").alias("energy"),
                 hit["channel"].alias("channel"),
-                F.when(known, sm).alias("sm"),
-                got["mm"].alias("mm"),
-                F.when(known, sm * 1000 + got["mm"]).alias("mm_id"),
-                got["is_time"].alias("is_time"),
-                got["is_energy"].alias("is_energy"),
-                got["x"].alias("x"),
-                got["y"].alias("y"),
-                F.nullif(got["slab"], F.lit(-1)).alias("slab"),
+                (sm * 1000 + place["mm"]).alias("mm_id"),
+                place.alias("place"),
             )
 
         described = F.transform(F.col(hits) if isinstance(hits, str) else hits, describe)
@@ -99,11 +86,11 @@ def _sum(hits: Column, value) -> Column:
 
 
 def _typed(kind: str | None):
-    return (lambda h: F.lit(True)) if kind is None else (lambda h: h[f"is_{kind}"])
+    return (lambda h: F.lit(True)) if kind is None else (lambda h: h["place"][f"is_{kind}"])
 
 
 def total_energy(hits: Column) -> Column:
-    return _sum(hits, lambda h: F.when(h["is_energy"], h["energy"]))
+    return _sum(hits, lambda h: F.when(h["place"]["is_energy"], h["energy"]))
 
 
 def count(hits: Column, kind: str | None = None) -> Column:
@@ -121,12 +108,14 @@ def strongest_module(hits: Column) -> Column:
         modules,
         lambda m: F.struct(
             m.alias("mm_id"),
-            _sum(hits, lambda h: F.when((h["mm_id"] == m) & h["is_energy"], h["energy"])).alias("energy"),
+            _sum(hits, lambda h: F.when((h["mm_id"] == m) & h["place"]["is_energy"], h["energy"])).alias("energy"),
         ),
     )
-    best = F.array_max(F.transform(sums, lambda s, i: F.struct(s["energy"].alias("energy"), (-i).alias("i"), s["mm_id"].alias("mm_id"))))
-    return F.when(
-        best.isNotNull(), F.struct(best.getField("mm_id").alias("mm_id"), best.getField("energy").alias("energy"))
+    # The greatest (energy, earliest visit) is the strongest; an empty side has none.
+    return F.array_max(
+        F.transform(
+            sums, lambda s, i: F.struct(s["energy"].alias("energy"), (-i).alias("order"), s["mm_id"].alias("mm_id"))
+        )
     )
 
 
@@ -152,7 +141,7 @@ def centroid(hits: Column, x_power: float = 1, y_power: float = 2, sum_rows_cols
             return F.pow(h["energy"] + F.lit(WEIGHT_OFFSET), F.lit(float(power)))
 
         used = hits if kind is None else F.filter(hits, _typed(kind))
-        return F.try_divide(_sum(used, lambda h: weight(h) * h[name]), _sum(used, weight))
+        return F.try_divide(_sum(used, lambda h: weight(h) * h["place"][name]), _sum(used, weight))
 
     return F.struct(
         axis("x", x_power, "time" if sum_rows_cols else None).alias("cx"),
@@ -166,8 +155,8 @@ def depth_single(hits: Column) -> Column:
 
 
 def depth_projected(hits: Column, axis: str = "x") -> Column:
-    lines = F.array_distinct(F.transform(hits, lambda h: h[axis]))
-    sums = F.transform(lines, lambda c: _sum(hits, lambda h: F.when(h[axis] == c, h["energy"])))
+    lines = F.array_distinct(F.transform(hits, lambda h: h["place"][axis]))
+    sums = F.transform(lines, lambda c: _sum(hits, lambda h: F.when(h["place"][axis] == c, h["energy"])))
     return F.try_divide(_sum(hits, lambda h: h["energy"]), F.array_max(sums))
 
 

@@ -85,15 +85,16 @@ TEMPLATE_TYPE = (
 )
 
 
-def constant_array(entries: list[tuple]) -> str:
-    """SQL text of a constant array of structs, parsed in one go."""
+def constant_array(entries: list[tuple | None]) -> str:
+    """SQL text of a constant array of structs (or NULLs), parsed in one go."""
 
     def word(v) -> str:
         if v is None:
             return "NULL"
         return f"{v!r}D" if isinstance(v, float) else str(v).lower()
 
-    return f"array({','.join('struct(' + ','.join(map(word, e)) + ')' for e in entries)})"
+    structs = ["NULL" if e is None else f"struct({','.join(map(word, e))})" for e in entries]
+    return f"array({','.join(structs)})"
 
 
 def channel_map(modules: DataFrame, first, second, layout: Layout) -> DataFrame:

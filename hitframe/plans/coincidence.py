@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitframe.functions import nested
@@ -86,9 +86,14 @@ def event_pairs(sides: DataFrame) -> DataFrame:
     return flat.select(*EVENT, side(1), side(2))
 
 
-def both_in_window(pairs: DataFrame, energy: tuple[float, float], field: str = "module_energy") -> DataFrame:
+def in_both_windows(energy: tuple[float, float], field: str = "module_energy") -> Column:
+    """Both sides of an event lie in the energy window."""
+    return energy_window(F.col(f"f1.{field}"), *energy) & energy_window(F.col(f"f2.{field}"), *energy)
+
+
+def both_in_window(pairs: DataFrame, energy: tuple[float, float]) -> DataFrame:
     """Events whose two sides both lie in the energy window."""
-    return pairs.filter(energy_window(F.col(f"f1.{field}"), *energy) & energy_window(F.col(f"f2.{field}"), *energy))
+    return pairs.filter(in_both_windows(energy))
 
 
 def stacked(pairs: DataFrame) -> DataFrame:
@@ -106,7 +111,10 @@ def coincidence_modules_nested(
 ) -> DataFrame:
     """The same result from nested events: everything up to the module sums is a narrow transformation."""
     featured = nested.with_features(events, arrays).select(*EVENT, "f1", "f2")
-    sides = stacked(both_in_window(featured, energy))
+    # The window is tested inside the outer generator, not by a filter below it: a filter would be pushed down to the
+    # scan together with a second copy of all feature expressions.
+    kept = F.when(in_both_windows(energy), F.array("f1", "f2"))
+    sides = featured.select(*EVENT, F.inline_outer(kept)).filter(F.col("mm_id").isNotNull())
     split = {"sm": F.floor(F.col("mm_id") / 1000).cast("int"), "mm": (F.col("mm_id") % 1000).cast("int")}
     return module_summary(sides.withColumns(split))
 
