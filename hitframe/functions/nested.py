@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from hitframe.functions.electronics import PORT_CHANNELS, SLAVE_CHANNELS
 from hitframe.maps.channel_map import constant_array, layout_of
 from hitframe.maps.config import MapConfig
-from hitframe.operators.features import WEIGHT_OFFSET
+from hitframe.operators.features import weight
 
 PLACES = "array<struct<mm:int,is_time:boolean,is_energy:boolean,x:double,y:double,slab:int>>"
 
@@ -137,11 +137,11 @@ def centroid(hits: Column, x_power: float = 1, y_power: float = 2, sum_rows_cols
     """Struct ``cx, cy`` of energy-weighted positions."""
 
     def axis(name: str, power: float, kind: str | None) -> Column:
-        def weight(h: Column) -> Column:
-            return F.pow(h["energy"] + F.lit(WEIGHT_OFFSET), F.lit(float(power)))
+        def weighted(h: Column) -> Column:
+            return weight(power, h["energy"])
 
         used = hits if kind is None else F.filter(hits, _typed(kind))
-        return F.try_divide(_sum(used, lambda h: weight(h) * h["place"][name]), _sum(used, weight))
+        return F.try_divide(_sum(used, lambda h: weighted(h) * h["place"][name]), _sum(used, weighted))
 
     return F.struct(
         axis("x", x_power, "time" if sum_rows_cols else None).alias("cx"),

@@ -37,7 +37,8 @@ def strongest_first(condition: Column | None = None) -> Column:
     return key if condition is None else F.when(condition, key)
 
 
-HIT_COLUMNS = F.struct("time", "energy", "channel")
+def hit_columns() -> Column:
+    return F.struct("time", "energy", "channel")
 
 
 def colocate(reduced: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def top_hits(hits: DataFrame, n: int, kind: str | None = "energy", by: list[str]
 
 def strongest_hit(hits: DataFrame, kind: str | None = None) -> DataFrame:
     """Per event side: the most energetic hit of a type as a struct; NULL if the side has none."""
-    return hits.groupBy(*SIDE).agg(F.min_by(HIT_COLUMNS, strongest_first(of_type(kind))).alias("hit"))
+    return hits.groupBy(*SIDE).agg(F.min_by(hit_columns(), strongest_first(of_type(kind))).alias("hit"))
 
 
 def module_time(hits: DataFrame, targets: DataFrame) -> DataFrame:
@@ -117,8 +118,12 @@ def module_time(hits: DataFrame, targets: DataFrame) -> DataFrame:
 # --- centroid ---------------------------------------------------------------------------------------------------
 
 
-def weight(power: float) -> Column:
-    return F.pow(F.col("energy") + F.lit(WEIGHT_OFFSET), F.lit(float(power)))
+def weight(power: float, energy: Column | None = None) -> Column:
+    """Centroid weight of a hit; the usual powers 1 and 2 need no power function."""
+    base = (F.col("energy") if energy is None else energy) + F.lit(WEIGHT_OFFSET)
+    if power == 1:
+        return base
+    return base * base if power == 2 else F.pow(base, F.lit(float(power)))
 
 
 def centroid_sums(x_power: float, y_power: float, sum_rows_cols: bool) -> list[Column]:

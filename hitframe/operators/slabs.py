@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hitframe.operators.features import HIT_COLUMNS, choose_strongest, per_module, strongest_first, top_hits
+from hitframe.operators.features import hit_columns, choose_strongest, per_module, strongest_first, top_hits
 from hitframe.schema import MODULE, SIDE
 
 # Fixed values of the light-sharing readout.
@@ -16,7 +16,7 @@ FLAG_EDGE, FLAG_RANDOM, FLAG_UNRESOLVED, FLAG_NEIGHBOUR = 0, 1, 2, 3
 
 def direct_slab(hits: DataFrame) -> DataFrame:
     """The most energetic time hit of the strongest module: its channel names the slab. NULLs when there is none."""
-    modules = per_module(hits, F.min_by(HIT_COLUMNS, strongest_first(F.col("is_time"))).alias("_t"))
+    modules = per_module(hits, F.min_by(hit_columns(), strongest_first(F.col("is_time"))).alias("_t"))
     picked = choose_strongest(modules, [*MODULE, "_t"])
     return picked.select(
         *SIDE,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitframe.operators.features import HIT_COLUMNS, strongest_first
+from hitframe.operators.features import hit_columns, strongest_first
 from hitframe.operators.lookups import with_skew
 from hitframe.schema import EVENT, SIDE
 
@@ -94,7 +94,7 @@ def coincidence(hits: DataFrame, window: float) -> DataFrame:
     """Per event: most energetic time hit of each side and whether they are closer than the window (strict)."""
 
     def strongest(side: int) -> Column:
-        return F.min_by(HIT_COLUMNS, strongest_first((F.col("side") == side) & F.col("is_time")))
+        return F.min_by(hit_columns(), strongest_first((F.col("side") == side) & F.col("is_time")))
 
     pairs = hits.groupBy(*EVENT).agg(strongest(1).alias("hit1"), strongest(2).alias("hit2"))
     near = F.abs(F.col("hit1.time") - F.col("hit2.time")) < window

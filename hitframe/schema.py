@@ -25,8 +25,9 @@ EVENTS = T.StructType(
     ]
 )
 
-# An event is identified by its file and its ordinal in that file.
-EVENT = ["file_id", "event_id"]
+# An event is identified by its file and its ordinal in that file. The ordinal comes first: it tells most rows apart, so
+# sorts by these keys rarely look beyond it.
+EVENT = ["event_id", "file_id"]
 SIDE = [*EVENT, "side"]
 MODULE = ["sm", "mm"]
 

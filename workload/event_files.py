@@ -5,17 +5,31 @@ Each task writes one file from its sorted rows as they stream by; nothing passes
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from hitframe.schema import MAX_HITS_PER_SIDE
-from hitframe.sources.decode import HIT_DTYPE
+from hitframe.sources.decode import HIT_DTYPE, open_fs
+
+
+def make_folder(path: str) -> None:
+    store, bare = open_fs(path)
+    store.create_dir(bare, recursive=True)
+
+
+@contextmanager
+def published(folder: str, name: str):
+    """Output stream whose file appears under its name only when it is complete."""
+    store, bare = open_fs(folder)
+    with store.open_output_stream(f"{bare}/_{name}") as f:
+        yield f
+    store.move(f"{bare}/_{name}", f"{bare}/{name}")
 
 
 def _whole_events(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -90,7 +104,7 @@ def write_event_files(
 ) -> None:
     """Write events as files; ``tail`` is appended to each. With ``by`` a file holds one value of that column and the
     value is part of its name."""
-    os.makedirs(path, exist_ok=True)
+    make_folder(path)
     keys = ["event_id"] if by is None else [by, "event_id"]
     placed = hits.select(*keys, "side", "hit_idx", "time", "energy", "channel")
     spread = placed.repartition(files, *keys[:1]).sortWithinPartitions(*keys, "side", "hit_idx").drop("hit_idx")
@@ -101,14 +115,12 @@ def write_event_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for value, part in _by_value(batches, by):
             name = f"run_{uuid.uuid4().hex}.ldat" if by is None else f"run_pos{value}_{uuid.uuid4().hex}.ldat"
-            partial = os.path.join(path, f"_{name}")
-            with open(partial, "wb") as f:
+            with published(path, name) as f:
                 if layout == "fixed":
                     f.write(struct.pack("<i", hit_limit))
                 for events in _whole_events(part):
                     f.write(encode(*events))
                 f.write(tail)
-            os.replace(partial, os.path.join(path, name))
             yield pa.RecordBatch.from_pydict({"name": [name]})
 
     spread.mapInArrow(write, "name string").count()

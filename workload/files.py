@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from hitframe import sources
@@ -16,7 +14,7 @@ from hitframe.sources import tables
 from hitframe.sources.events import position_of, to_hits
 from hitframe.sources.split_index import split_index
 from hitframe.streaming.ingest import append_to_table, landing_events
-from workload.event_files import write_event_files
+from workload.event_files import make_folder, published, write_event_files
 from workload.fixtures import hits, table, with_views
 from workload.joins import SKEW_SQL, skew_table
 from workload.modules import SIDES_SQL, SUMMARY_SQL, rounded_summary
@@ -206,7 +204,7 @@ def s11_slab(spark, sf):
 )
 def s12(spark, sf):
     path = scratch_path(spark, "categories")
-    os.makedirs(path, exist_ok=True)
+    make_folder(path)
     rows = table(spark, sf, "part").select(
         F.col("p_partkey").cast("int").alias("a"), (F.col("p_size") - 20).cast("int").alias("b")
     )
@@ -220,9 +218,8 @@ def s12(spark, sf):
         for batch in batches:
             words = np.stack([batch.column(c).to_numpy() for c in ("a", "b")], axis=1).astype("<i4")
             name = f"{uuid.uuid4().hex}.bin"
-            with open(os.path.join(path, f"_{name}"), "wb") as f:
+            with published(path, name) as f:
                 f.write(words.tobytes())
-            os.replace(os.path.join(path, f"_{name}"), os.path.join(path, name))
             yield pa.RecordBatch.from_pydict({"name": [name]})
 
     rows.mapInArrow(write, "name string").count()
