@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitframe.operators.features import hit_columns, strongest_first
-from hitframe.operators.lookups import with_skew
-from hitframe.schema import EVENT, SIDE
+from hitframe.operators.lookups import small_side, with_skew
+from hitframe.schema import EVENT, MAX_HITS_PER_SIDE, SIDE
 
 
 def apply_skew(hits: DataFrame, skew: DataFrame, rows: int | None = None) -> DataFrame:
@@ -24,13 +24,41 @@ def apply_skew(hits: DataFrame, skew: DataFrame, rows: int | None = None) -> Dat
     ).drop("skew")
 
 
-def sort_by_time(hits: DataFrame) -> DataFrame:
+def overlong_sides(hits: DataFrame, longest: int = MAX_HITS_PER_SIDE) -> DataFrame:
+    """Event sides with more hits than an event file can hold, with their time range; normally none."""
+    sizes = hits.groupBy(*SIDE).agg(
+        F.count("*").alias("n_hits"), F.min("time").alias("first_time"), F.max("time").alias("last_time")
+    )
+    return sizes.filter(F.col("n_hits") > longest)
+
+
+def sort_by_time(
+    hits: DataFrame, overlong: DataFrame | None = None, overlong_rows: int = 0, slices: int = 1024
+) -> DataFrame:
     """Renumber the hits of every side (from 0) by ascending time, keeping the old order among equal times.
 
-    The window holds one event side, at most 255 hits in event files.
+    A side of an event file has at most 255 hits, so a window per side is enough. For other data pass the (written or
+    checkpointed) ``overlong_sides`` with their number: those sides are cut into equal time slices that are numbered
+    separately and then shifted by the hits of the slices before, so that no task sorts such a side alone.
     """
-    w = Window.partitionBy(*SIDE).orderBy("time", "hit_idx")
-    return hits.withColumn("hit_idx", F.row_number().over(w) - 1)
+    if overlong is None or overlong_rows == 0:
+        w = Window.partitionBy(*SIDE).orderBy("time", "hit_idx")
+        return hits.withColumn("hit_idx", F.row_number().over(w) - 1)
+
+    width = F.ceil((F.col("last_time") - F.col("first_time") + 1) / slices)
+    cuts = small_side(overlong.select(*SIDE, F.col("first_time").alias("_start"), width.alias("_width")), overlong_rows)
+    slice_ = F.floor((F.col("time") - F.col("_start")) / F.col("_width"))
+
+    sliced = hits.join(cuts, SIDE, "left").withColumn("_slice", F.coalesce(slice_, F.lit(0)))
+    w = Window.partitionBy(*SIDE, "_slice").orderBy("time", "hit_idx")
+    numbered = sliced.withColumn("_rank", F.row_number().over(w) - 1)
+
+    earlier = Window.partitionBy(*SIDE).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hits.join(cuts, SIDE).groupBy(*SIDE, slice_.alias("_slice")).agg(F.count("*").alias("_n"))
+    shifts = counts.select(*SIDE, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    joined = numbered.join(small_side(shifts, overlong_rows * slices), [*SIDE, "_slice"], "left")
+    number = (F.col("_rank") + F.coalesce("_shift", F.lit(0))).cast("int")
+    return joined.select(*[number.alias(c) if c == "hit_idx" else F.col(c) for c in hits.columns])
 
 
 def _side_value(side: int, value: Column) -> Column:

@@ -52,18 +52,38 @@ def decode_range(
             first, count = first + len(data), count - len(data)
 
 
+def decode_piece(
+    path: str, file_id: int, size: int, start: int, stop: int, sides: int, min_energy: float | None
+) -> Iterator[pa.RecordBatch]:
+    """Events whose records start in a byte range of a file of ``size`` bytes."""
+    if size < HEADER_BYTES:
+        return
+    width = record_bytes(read_hit_limit(path), sides)
+    records = (size - HEADER_BYTES) // width
+
+    def first_record_from(offset: int) -> int:
+        return min(max(-((HEADER_BYTES - offset) // width), 0), records)
+
+    first, behind = first_record_from(start), first_record_from(stop)
+    if behind > first:
+        yield from decode_range(path, file_id, first, behind - first, sides, min_energy)
+
+
 @dataclass
-class RecordRange(InputPartition):
+class FilePiece(InputPartition):
     path: str
     file_id: int
-    first: int
-    count: int
+    size: int
+    start: int
+    stop: int
 
     def __post_init__(self):
         super().__init__(self.path)
 
 
 class FixedReader(DataSourceReader):
+    """Splits are byte ranges from the file listing alone; a task finds the records that start in its range."""
+
     def __init__(self, options):
         self.path = options["path"]
         self.sides = 1 if options.get("group", "false").lower() == "true" else 2
@@ -75,26 +95,19 @@ class FixedReader(DataSourceReader):
             raise ValueError(f"mode must be one of {MODES}")
 
     def partitions(self) -> list[InputPartition]:
-        ranges = []
-        for file_id, (path, size) in enumerate(list_files(self.path)):
-            if size < HEADER_BYTES:
-                continue
-            width = record_bytes(read_hit_limit(path), self.sides)
-            records, rest = divmod(size - HEADER_BYTES, width)
-            if rest and self.mode == "failfast":
-                raise ValueError(f"{path} ends inside a record")
-            step = max(self.split_bytes // width, 1)
-            ranges += [
-                RecordRange(path, file_id, first, min(step, records - first)) for first in range(0, records, step)
-            ]
-        return ranges or [RecordRange("", -1, 0, 0)]
+        pieces = [
+            FilePiece(path, file_id, size, start, min(start + self.split_bytes, size))
+            for file_id, (path, size) in enumerate(list_files(self.path))
+            for start in range(0, size, self.split_bytes)
+        ]
+        return pieces or [FilePiece("", -1, 0, 0, 0)]
 
     def read(self, partition):
-        if partition.count == 0:
-            return
-        for batch in decode_range(
-            partition.path, partition.file_id, partition.first, partition.count, self.sides, self.min_energy
-        ):
+        p = partition
+        if self.mode == "failfast" and p.size >= HEADER_BYTES and p.stop == p.size:
+            if (p.size - HEADER_BYTES) % record_bytes(read_hit_limit(p.path), self.sides):
+                raise ValueError(f"{p.path} ends inside a record")
+        for batch in decode_piece(p.path, p.file_id, p.size, p.start, p.stop, self.sides, self.min_energy):
             yield from cleaned(batch, self.mode)
 
 

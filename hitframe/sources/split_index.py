@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hitframe.sources.compact import READ_BYTES, walk
 from hitframe.sources.decode import list_files, open_fs
@@ -43,8 +42,9 @@ def split_index(
 ) -> DataFrame:
     """Index rows of all compact files below ``path``. Write the result as Parquet and pass it as option ``index``."""
     sides = 1 if group else 2
-    files = spark.createDataFrame(list_files(path), "path string, size long")
-    spread = files.repartition(max(1, min(files.count(), 10_000)), F.col("path"))
+    listed = list_files(path)
+    files = spark.createDataFrame(listed, "path string, size long")
+    spread = files.repartition(max(1, min(len(listed), 10_000)))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files_of_task in batches:

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from hitframe.schema import EVENTS
 from hitframe.sources.compact import decode_bytes
-from hitframe.sources.fixed import HEADER_BYTES, decode_range, read_hit_limit, record_bytes
+from hitframe.sources.fixed import decode_piece
 
 LISTING = "path string, modificationTime timestamp, length long, content binary"
 
@@ -61,15 +61,7 @@ def _decode_piece(row: dict, layout: str, sides: int, min_energy: float | None)
         threshold = 0.0 if min_energy is None else min_energy
         yield from decode_bytes(path, row["file_id"], start, stop, 0, sides, threshold, "permissive")
         return
-    if row["length"] < HEADER_BYTES:
-        return
-    # The piece decodes the records that start in it.
-    size = record_bytes(read_hit_limit(path), sides)
-    records = (row["length"] - HEADER_BYTES) // size
-    first = max(-((HEADER_BYTES - start) // size), 0)
-    behind = min(max(-((HEADER_BYTES - stop) // size), 0), records)
-    if behind > first:
-        yield from decode_range(path, row["file_id"], first, behind - first, sides, min_energy)
+    yield from decode_piece(path, row["file_id"], row["length"], start, stop, sides, min_energy)
 
 
 def append_to_table(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from hitframe.operators import lookups, timing
@@ -57,6 +59,19 @@ def test_sort_by_time_is_stable(spark):
     assert got == [1, 2, 0]
 
 
+@pytest.mark.parametrize("slices", [1, 3, 1024])
+def test_sliced_sort_of_overlong_sides_is_exact(spark, slices):
+    rng = random.Random(slices)
+    rows = [hit(event=e, idx=i, time=BIG + rng.randrange(40), channel=i) for e, n in ((0, 300), (1, 8)) for i in range(n)]
+    h = hits(spark, rng.sample(rows, len(rows)))
+    overlong = timing.overlong_sides(h, longest=20)
+    assert [r["event_id"] for r in overlong.collect()] == [0]
+    plain = {(r["event_id"], r["hit_idx"]): r["channel"] for r in timing.sort_by_time(h).collect()}
+    sliced = timing.sort_by_time(h, overlong, 1, slices)
+    assert sliced.columns == h.columns
+    assert {(r["event_id"], r["hit_idx"]): r["channel"] for r in sliced.collect()} == plain
+
+
 def test_coincidence_window_is_strict(spark):
     h = hits(
         spark,
