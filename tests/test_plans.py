@@ -20,6 +20,7 @@ from hitframe.schema import EVENT, MAX_BROADCAST_ROWS
 from hitframe.session import checkpointed, scratch_path, shared_dir
 from hitframe.sinks import tables as sinks
 from hitframe.sources.events import to_hits
+from hitframe.streaming.ingest import append_to_table, landing_events
 from tests.conftest import SF
 from tests.helpers import by_side, hit, hits
 from workload.files import FIXTURE_MAP, written
@@ -127,6 +128,20 @@ def test_nested_time_order_and_first_hit(spark, events):
         assert r["first"] == (r["h"][0] if r["h"] else None)
 
 
+def test_features_of_a_stream_equal_those_of_the_batch(spark, folder):
+    """Everything per event is stateless on the nested form, so it runs in append mode as it is."""
+    path, arrays = written(spark, SF, "fixed"), ChannelArrays.of(FIXTURE_MAP)
+
+    def featured(events):
+        kept = nested.with_features(events, arrays).filter(F.col("f1.n_energy") >= 2)
+        return kept.select("file_name", "event_id", "f1.energy", "f1.mm_id", "f2.time")
+
+    stream = featured(landing_events(spark, path, max_files_per_trigger=1))
+    append_to_table(stream, f"{folder}/out", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    batch = featured(spark.read.format("fixed_events").load(path))
+    assert sorted(spark.read.parquet(f"{folder}/out").collect()) == sorted(batch.collect())
+
+
 def test_light_spread(spark):
     h = hits_a(spark, SF)
     pairs = checkpointed(coincidence.passing_pairs(h, 1))
