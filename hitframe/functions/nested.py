@@ -125,7 +125,9 @@ def in_module(hits: Column, mm_id: Column) -> Column:
 
 def strongest_hit(hits: Column, kind: str | None = None) -> Column:
     """Most energetic hit of a type, the earliest on ties, or NULL."""
-    ranked = F.transform(F.filter(hits, _typed(kind)), lambda h, i: F.struct(h["energy"].alias("e"), (-i).alias("i"), h.alias("h")))
+    ranked = F.transform(
+        F.filter(hits, _typed(kind)), lambda h, i: F.struct(h["energy"].alias("e"), (-i).alias("i"), h.alias("h"))
+    )
     return F.array_max(ranked).getField("h")
 
 
@@ -133,6 +135,20 @@ def first_time_hit(hits: Column) -> Column:
     return F.get(F.filter(hits, _typed("time")), 0)
 
 
+def dt_first(hits1: Column, hits2: Column) -> Column:
+    """Time of the first time hit of side 1 minus that of side 2; NULL if a side has none."""
+    return first_time_hit(hits1)["time"] - first_time_hit(hits2)["time"]
+
+
+def coincidence(hits1: Column, hits2: Column, window: float) -> Column:
+    """Struct of the most energetic time hit of each side and whether they are closer than the window (strict)."""
+    first, second = strongest_hit(hits1, "time"), strongest_hit(hits2, "time")
+    near = F.abs(first["time"] - second["time"]) < window
+    return F.struct(
+        first.alias("hit1"), second.alias("hit2"), F.coalesce(near, F.lit(False)).alias("coincident")
+    )
+
+
 def centroid(hits: Column, x_power: float = 1, y_power: float = 2, sum_rows_cols: bool = False) -> Column:
     """Struct ``cx, cy`` of energy-weighted positions."""
 

@@ -179,9 +179,12 @@ def depth_projected(hits: DataFrame, axis: str = "x", zero: str = "null") -> Dat
 
 
 def strongest_depth(
-    hits: DataFrame, sum_rows_cols: bool = False, axis: str = "x", zero: str = "zero"
+    hits: DataFrame, sum_rows_cols: bool = False, axis: str = "x", zero: str = "zero", placed: bool = False
 ) -> DataFrame:
-    """Per event side: depth ratio over the energy hits of the strongest module."""
+    """Per event side: depth ratio over the energy hits of the strongest module.
+
+    ``placed`` says that the hits are already distributed by event, as in a table bucketed by it.
+    """
     e = F.when(F.col("is_energy"), F.col("energy"))
     if sum_rows_cols:
         modules = per_module(hits, F.max(e).alias("_peak"))
@@ -189,7 +192,7 @@ def strongest_depth(
         lines = hits.groupBy(*SIDE, *MODULE, axis).agg(
             F.coalesce(F.sum(e), F.lit(0.0)).alias("_line"), F.min("hit_idx").alias("_idx")
         )
-        modules = colocate(lines).groupBy(*SIDE, *MODULE).agg(
+        modules = (lines if placed else colocate(lines)).groupBy(*SIDE, *MODULE).agg(
             F.sum("_line").alias("module_energy"),
             F.min("_idx").alias("first_idx"),
             F.max("_line").alias("_peak"),
@@ -231,15 +234,16 @@ def impact_matrix(cells: DataFrame, side: int = 8) -> DataFrame:
     return checked.groupBy(*SIDE).agg(F.array(*rows).alias("matrix"))
 
 
-def impact_profile(cells: DataFrame, events: DataFrame, n: int = 64) -> DataFrame:
+def impact_profile(cells: DataFrame, events: DataFrame | None = None, n: int = 64) -> DataFrame:
     """Mean cell energy by rank, relative to the strongest cell, over the given events; and the mean maximum.
 
-    ``cells`` holds the cells of one side, ``events`` the keys of the events to use. A group of the ranking window is
+    ``cells`` holds the cells of one side, ``events`` the keys of the events to use (all by default). A group of the ranking window is
     one event's cells, at most one per matrix position. Ranks an event lacks count as 0. One row per rank 1..n.
     """
-    used = cells.join(events.select(*EVENT), EVENT, "left_semi")
+    used = cells if events is None else cells.join(events.select(*EVENT), EVENT, "left_semi")
     w = Window.partitionBy(*EVENT).orderBy(F.desc("energy"), "row", "col")
-    ranked = used.withColumns({"_rank": F.row_number().over(w), "_max": F.max("energy").over(Window.partitionBy(*EVENT))})
+    whole = Window.partitionBy(*EVENT)
+    ranked = used.withColumns({"_rank": F.row_number().over(w), "_max": F.max("energy").over(whole)})
     share = F.try_divide(F.col("energy"), F.col("_max"))
     first = F.when(F.col("_rank") == 1, F.col("_max"))
     sums = ranked.agg(

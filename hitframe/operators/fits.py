@@ -219,8 +219,7 @@ def photopeak_window(
 
 
 def in_photopeak(window: DataFrame, energy: Column | str = "energy1") -> Column:
-    """Condition on ``energy`` using the one-row window as scalar subqueries, so no join is involved."""
+    """Condition on ``energy`` using the one-row window as one scalar subquery, so no join is involved."""
     e = F.col(energy) if isinstance(energy, str) else energy
-    low = window.select("peak_low").scalar()
-    high = window.select("peak_high").scalar()
-    return (e > low) & (e < high)
+    limits = window.select(F.struct("peak_low", "peak_high").alias("limits")).scalar()
+    return (e > limits["peak_low"]) & (e < limits["peak_high"])

@@ -81,6 +81,18 @@ def projection(
     )
 
 
+def projections(
+    flood: DataFrame,
+    by: list[str] | None = None,
+    bins: int = FLOOD_BINS,
+    limits: tuple[float, float] = FLOOD_RANGE,
+) -> DataFrame:
+    """Projections on both axes in one pass, told apart by the column ``axis``."""
+    sides = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"bin_{a}").alias("bin_y")) for a in ("x", "y")])
+    stacked = flood.select(*(by or []), "count", F.inline(sides))
+    return projection(stacked, "y", [*(by or []), "axis"], bins, limits)
+
+
 def module_summary(sides: DataFrame) -> DataFrame:
     """Per module (sm, mm): number of event sides, mean energy, mean depth, and mean position."""
     return sides.groupBy("sm", "mm").agg(

@@ -20,12 +20,13 @@ from hitframe.schema import EVENT, MODULE, SIDE
 
 
 def side_features(
-    hits: DataFrame, axis: str = "x", x_power: float = 1, y_power: float = 2
+    hits: DataFrame, axis: str = "x", x_power: float = 1, y_power: float = 2, placed: bool = False
 ) -> DataFrame:
     """Per event side: counts, total energy, strongest module, centroid and projected depth in two shuffles.
 
     The first grouping reduces hits to one row per (event side, module, line), whatever the share of an event is. One
-    redistribution by event then serves the line window and the module, side and event groupings.
+    redistribution by event then serves the line window and the module, side and event groupings. ``placed`` says that
+    the hits are already distributed by event (a table bucketed by it): then there is no shuffle.
     """
     e = F.when(F.col("is_energy"), F.col("energy"))
     lines = hits.groupBy(*SIDE, *MODULE, axis).agg(
@@ -38,7 +39,7 @@ def side_features(
     )
     # Rows of one event are now bounded by the channel map, so windows and groupings over it are small.
     line = Window.partitionBy(*SIDE, axis)
-    lines = colocate(lines).withColumn("_line", F.sum("_all").over(line))
+    lines = (lines if placed else colocate(lines)).withColumn("_line", F.sum("_all").over(line))
     sums = ["_sx", "_wx", "_sy", "_wy"]
     modules = lines.groupBy(*SIDE, *MODULE).agg(
         F.sum("_e").alias("module_energy"),

@@ -43,9 +43,13 @@ def write_training_text(table: DataFrame, path: str) -> None:
 
 def profile_lines(profile: DataFrame) -> DataFrame:
     """Lines of an impact profile: the mean maximum, then the mean share of every rank (bounded by the matrix size)."""
-    head = profile.filter(F.col("rank") == 1).select(F.lit(0).alias("line"), F.col("mean_max").alias("value"))
-    body = profile.select(F.col("rank").alias("line"), F.col("mean_share").alias("value"))
-    return head.unionByName(body)
+
+    def line(number: Column, value: Column) -> Column:
+        return F.struct(number.cast("int").alias("line"), value.alias("value"))
+
+    body = line(F.col("rank"), F.col("mean_share"))
+    lines = F.when(F.col("rank") == 1, F.array(line(F.lit(0), F.col("mean_max")), body)).otherwise(F.array(body))
+    return profile.select(F.inline(lines))
 
 
 def write_profile(profile: DataFrame, path: str) -> None:

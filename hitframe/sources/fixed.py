@@ -124,8 +124,8 @@ def cleaned(batch: pa.RecordBatch, mode: str) -> Iterator[pa.RecordBatch]:
 class FixedEvents(DataSource):
     """``spark.read.format("fixed_events")``.
 
-    Options: ``group`` (one side per event), ``min_energy`` (inclusive hit threshold, none by default), ``split_bytes``, ``mode``
-    (``permissive``, ``dropmalformed``, ``failfast``). A partial last record is not an event.
+    Options: ``group`` (one side per event), ``min_energy`` (inclusive hit threshold, none by default),
+    ``split_bytes``, ``mode`` (``permissive``, ``dropmalformed``, ``failfast``). A partial last record is not an event.
     """
 
     @classmethod

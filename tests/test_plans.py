@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from hitframe.functions import nested
 from hitframe.functions.nested import ChannelArrays
 from hitframe.maps import configured_channel_map
+from hitframe.maps.config import validated
 from hitframe.operators import features, filters, timing
 from hitframe.operators.inference import predict_positions
 from hitframe.operators.lookups import small_side, with_channels
@@ -23,6 +24,7 @@ from hitframe.sources.events import to_hits
 from hitframe.streaming.ingest import append_to_table, landing_events
 from tests.conftest import SF
 from tests.helpers import by_side, hit, hits
+from workload.dimensions import SUM_LISTS
 from workload.files import FIXTURE_MAP, written
 from workload.fixtures import hits_a, hits_b
 
@@ -64,6 +66,8 @@ def test_bucketed_hits_need_no_shuffle_per_event(spark):
     df = features.strongest_module(spark.table("bucketed_hits"))
     assert exchanges(df) == []
     assert df.count() == features.strongest_module(hits_a(spark, SF)).count()
+    placed = coincidence.side_features(spark.table("bucketed_hits"), placed=True)
+    assert exchanges(placed) == [] and placed.count() == df.count()
     spark.sql("DROP TABLE bucketed_hits")
 
 
@@ -72,7 +76,9 @@ def test_rank_limit_is_applied_before_the_shuffle(spark):
 
 
 def test_broadcast_hint_depends_on_the_proven_size(spark):
-    hinted = lambda rows: "broadcast" in small_side(spark.range(5), rows)._jdf.queryExecution().toString().lower()
+    def hinted(rows):
+        return "broadcast" in small_side(spark.range(5), rows)._jdf.queryExecution().toString().lower()
+
     assert hinted(5) and not hinted(None) and not hinted(MAX_BROADCAST_ROWS + 1)
 
 
@@ -86,7 +92,8 @@ def test_nested_features_equal_the_long_ones(spark, events):
     assert len(keyed) > 2000
     seen = 0
     singles = {(r["file_id"], r["event_id"], r["side"]): r["single"] for r in filters.single_minimodule(long).collect()}
-    times = {(r["file_id"], r["event_id"], r["side"]): r["hit"]["time"] for r in features.strongest_hit(long, "time").collect()}
+    strongest = features.strongest_hit(long, "time").collect()
+    times = {(r["file_id"], r["event_id"], r["side"]): r["hit"]["time"] for r in strongest}
     for r in featured.select(*EVENT, "f1", "f2").collect():
         for side in (1, 2):
             f, key = r[f"f{side}"], (r["file_id"], r["event_id"], side)
@@ -103,16 +110,35 @@ def test_nested_features_equal_the_long_ones(spark, events):
     assert seen == len(keyed)
 
 
+def test_nested_row_column_features_equal_the_long_ones(spark, events):
+    config = validated(
+        {
+            "FEM": "FEM256", "FEBD": "none", "mod_feb_map": {4: [0, 0, 0]}, "x_pitch": 3.0, "y_pitch": 3.0,
+            "mM_channels": 8, "sum_rows_cols": True, "Time": SUM_LISTS[0], "Energy": SUM_LISTS[1],
+        }
+    )
+    long = with_channels(to_hits(events), configured_channel_map(spark, config))
+    joined = features.centroid(long, sum_rows_cols=True).join(features.depth_single(long), ["event_id", "file_id", "side"])
+    joined = joined.join(features.strongest_module(long), ["event_id", "file_id", "side"])
+    wanted = {(r["file_id"], r["event_id"], r["side"]): r for r in joined.collect()}
+    featured = nested.with_features(events, ChannelArrays.of(config), sum_rows_cols=True)
+    seen = 0
+    for r in featured.select(*EVENT, "f1", "f2").collect():
+        for side in (1, 2):
+            f = r[f"f{side}"]
+            if f["n_hits"]:
+                w = wanted[(r["file_id"], r["event_id"], side)]
+                assert (f["mm_id"], f["module_energy"]) == (4000 + w["mm"], w["module_energy"])
+                for c in ("cx", "cy", "depth"):
+                    assert f[c] == (w[c] if w[c] is None else pytest.approx(w[c]))
+                seen += 1
+    assert seen == len(wanted) > 2000
+
+
 def test_nested_unmapped_channels(spark):
     arrays = ChannelArrays.of(FIXTURE_MAP)
-    row = spark.range(1).select(
-        F.array(
-            *[
-                F.struct(F.lit(1).cast("bigint").alias("time"), F.lit(1.0).cast("float").alias("energy"), F.lit(c).alias("channel"))
-                for c in (3, 255, 256, -1)
-            ]
-        ).alias("side1")
-    )
+    hit_type = "array<struct<time:bigint,energy:float,channel:int>>"
+    row = spark.createDataFrame([([(1, 1.0, c) for c in (3, 255, 256, -1)],)], f"side1 {hit_type}")
     assert len(row.select(arrays.enrich("side1")).first()[0]) == 2
     assert [h["mm_id"] for h in row.select(arrays.enrich("side1", "keep")).first()[0]] == [0, 1001, None, None]
     with pytest.raises(Exception, match="not in the map"):

@@ -40,8 +40,10 @@ def test_projection_total_is_the_flood_map_total(spark):
     total = flood.agg(F.sum("count")).first()[0]
     inside = points.filter(F.col("cx").between(0, 26) & F.col("cy").between(0, 26)).count()
     assert total == inside
+    both = spectra.projections(flood, bins=20)
     for axis in "xy":
         p = spectra.projection(flood, axis, bins=20)
+        assert sorted(both.filter(F.col("axis") == axis).drop("axis").collect()) == sorted(p.collect())
         assert p.agg(F.sum("count")).first()[0] == total
         assert p.filter("bin = 0").first()["centre"] == pytest.approx(0.65)
 

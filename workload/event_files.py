@@ -12,7 +12,9 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hitframe.schema import MAX_HITS_PER_SIDE
 from hitframe.sources.decode import HIT_DTYPE, open_fs
@@ -25,11 +27,15 @@ def make_folder(path: str) -> None:
 
 @contextmanager
 def published(folder: str, name: str):
-    """Output stream whose file appears under its name only when it is complete."""
+    """Output stream whose file appears under its name only when it is complete.
+
+    A task that runs again replaces the file of its earlier attempt, because the name depends on its partition alone.
+    """
     store, bare = open_fs(folder)
-    with store.open_output_stream(f"{bare}/_{name}") as f:
+    partial = f"{bare}/_{uuid.uuid4().hex}"
+    with store.open_output_stream(partial) as f:
         yield f
-    store.move(f"{bare}/_{name}", f"{bare}/{name}")
+    store.move(partial, f"{bare}/{name}")
 
 
 def _whole_events(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -97,14 +103,17 @@ def write_event_files(
     path: str,
     layout: str,
     group: bool = False,
-    hit_limit: int = 16,
+    hit_limit: int | None = None,
     tail: bytes = b"",
     by: str | None = None,
     files: int = 4,
 ) -> None:
     """Write events as files; ``tail`` is appended to each. With ``by`` a file holds one value of that column and the
-    value is part of its name."""
+    value is part of its name. Without ``hit_limit`` fixed records are as long as the longest event side needs."""
     make_folder(path)
+    if layout == "fixed" and hit_limit is None:
+        side = ["event_id"] if group else ["event_id", "side"]
+        hit_limit = hits.groupBy(*side).count().agg(F.max("count")).first()[0] or 0
     keys = ["event_id"] if by is None else [by, "event_id"]
     placed = hits.select(*keys, "side", "hit_idx", "time", "energy", "channel")
     spread = placed.repartition(files, *keys[:1]).sortWithinPartitions(*keys, "side", "hit_idx").drop("hit_idx")
@@ -114,7 +123,8 @@ def write_event_files(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for value, part in _by_value(batches, by):
-            name = f"run_{uuid.uuid4().hex}.ldat" if by is None else f"run_pos{value}_{uuid.uuid4().hex}.ldat"
+            part_id = TaskContext.get().partitionId()
+            name = f"run_{part_id}.ldat" if by is None else f"run_pos{value}_{part_id}.ldat"
             with published(path, name) as f:
                 if layout == "fixed":
                     f.write(struct.pack("<i", hit_limit))

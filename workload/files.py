@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from hitframe import sources
+from hitframe.functions import nested
 from hitframe.functions.nested import ChannelArrays
 from hitframe.maps.config import validated
 from hitframe.operators import filters
@@ -88,7 +92,7 @@ def s03(spark, sf):
 
 @query("s04_fixed_group_files", GROUP_SQL)
 def s04(spark, sf):
-    path = written(spark, sf, "fixed", group=True, hit_limit=32)
+    path = written(spark, sf, "fixed", group=True)
     return per_event(spark.read.format("fixed_events").option("group", "true").load(path))
 
 
@@ -210,17 +214,12 @@ def s12(spark, sf):
     )
 
     def write(batches):
-        import uuid
-
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            words = np.stack([batch.column(c).to_numpy() for c in ("a", "b")], axis=1).astype("<i4")
-            name = f"{uuid.uuid4().hex}.bin"
-            with published(path, name) as f:
+        name = f"{TaskContext.get().partitionId()}.bin"
+        with published(path, name) as f:
+            for batch in batches:
+                words = np.stack([batch.column(c).to_numpy() for c in ("a", "b")], axis=1).astype("<i4")
                 f.write(words.tobytes())
-            yield pa.RecordBatch.from_pydict({"name": [name]})
+        yield pa.RecordBatch.from_pydict({"name": [name]})
 
     rows.mapInArrow(write, "name string").count()
     return tables.read_slab_categories(spark, path)
@@ -311,3 +310,65 @@ def x02(spark, sf):
     events = landing_events(spark, path, split_bytes=1 << 20, max_files_per_trigger=2)
     append_to_table(events, out, log).trigger(availableNow=True).start().awaitTermination()
     return per_event(spark.read.parquet(out))
+
+
+@query(
+    "a03_event_features_nested",
+    with_views(
+        "best_a",
+        SIDES_SQL
+        + """, c AS (SELECT file_id, event_id, side, count(*) AS n_hits, count(DISTINCT mm_id) = 1 AS single,
+                            min_by(time, (-energy, hit_idx)) AS time FROM ha GROUP BY ALL)
+             SELECT side, CAST(n_hits AS INTEGER) AS n_hits, energy, single, mm_id, module_energy, round(cx, 6) AS cx,
+                    round(cy, 6) AS cy, round(depth, 6) AS depth, time
+             FROM sides JOIN c USING (file_id, event_id, side)""",
+    ),
+)
+def features_nested(spark, sf):
+    """Features of every event side straight from event files, without any shuffle."""
+    events = spark.read.format("fixed_events").load(written(spark, sf, "fixed"))
+    featured = nested.with_features(events, ChannelArrays.of(FIXTURE_MAP))
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"f{k}").alias("f")) for k in (1, 2)])
+    rows = featured.select(F.inline(sides)).select("side", "f.*").filter(F.col("n_hits") > 0)
+    rounded = {c: F.round(c, 6) for c in ("cx", "cy", "depth")}
+    return rows.withColumns(rounded).drop("n_energy")
+
+
+@query(
+    "t02_dt_first_nested",
+    with_views(
+        "hits",
+        """SELECT count(*) AS n_hits, max(time) FILTER (WHERE side = 1 AND k = 1)
+                  - max(time) FILTER (WHERE side = 2 AND k = 1) AS dt
+           FROM (SELECT *, row_number() OVER (PARTITION BY event_id, side ORDER BY hit_idx) AS k FROM hits)
+           GROUP BY event_id""",
+    ),
+)
+def dt_first_nested(spark, sf):
+    events = spark.read.format("compact_events").load(written(spark, sf, "compact"))
+    arrays = ChannelArrays.of(FIXTURE_MAP)
+    both = events.select(*[arrays.enrich(s).alias(s) for s in ("side1", "side2")])
+    n_hits = (nested.count(F.col("side1")) + nested.count(F.col("side2"))).cast("bigint")
+    return both.select(n_hits.alias("n_hits"), nested.dt_first(F.col("side1"), F.col("side2")).alias("dt"))
+
+
+@query(
+    "f08_coincidence_window_nested",
+    with_views(
+        "hits",
+        """, t AS (SELECT * FROM hits QUALIFY row_number() OVER (
+                     PARTITION BY event_id, side ORDER BY energy DESC, hit_idx) = 1)
+           SELECT max(channel) FILTER (WHERE side = 1) AS channel1, max(channel) FILTER (WHERE side = 2) AS channel2,
+                  coalesce(abs(max(time) FILTER (WHERE side = 1) - max(time) FILTER (WHERE side = 2)) < 50000000000,
+                           false) AS coincident
+           FROM t GROUP BY event_id""",
+    ),
+)
+def coincidence_nested(spark, sf):
+    events = spark.read.format("compact_events").load(written(spark, sf, "compact"))
+    arrays = ChannelArrays.of(FIXTURE_MAP)
+    both = events.select(*[arrays.enrich(s).alias(s) for s in ("side1", "side2")])
+    out = nested.coincidence(F.col("side1"), F.col("side2"), 50_000_000_000)
+    return both.select(out.alias("c")).select(
+        F.col("c.hit1.channel").alias("channel1"), F.col("c.hit2.channel").alias("channel2"), "c.coincident"
+    )

@@ -158,9 +158,7 @@ def g05(spark, sf):
 )
 def g06(spark, sf):
     flood = spectra.flood_map(placed_sides(spark, sf))
-    parts = [spectra.projection(flood, axis).withColumn("axis", F.lit(axis)) for axis in ("x", "y")]
-    both = parts[0].unionByName(parts[1])
-    return both.select("axis", "bin", "count", F.round("centre", 6).alias("centre"))
+    return spectra.projections(flood).select("axis", "bin", "count", F.round("centre", 6).alias("centre"))
 
 
 @query(

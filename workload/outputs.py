@@ -60,7 +60,7 @@ def w01_parity(spark, sf):
 )
 def w02(spark, sf):
     cells = features.impact_cells(hits_a(spark, sf).filter(F.col("side") == 1), 3.0)
-    return sinks.profile_lines(features.impact_profile(cells, cells))
+    return sinks.profile_lines(features.impact_profile(cells))
 
 
 def listmode_pairs(spark, sf):
