@@ -32,20 +32,28 @@ def open_fs(path: str) -> tuple[fs.FileSystem, str]:
     """File system and bare path of a plain path or URI, so that shared stores work as well as mounted folders."""
     if path.startswith("file:") and not path.startswith("file://"):
         path = path[len("file:") :]
+    if path.startswith("s3a://"):
+        path = "s3://" + path[len("s3a://") :]
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
 def list_files(path: str) -> list[tuple[str, int]]:
-    """Data files of a file, folder or (local) glob pattern in name order, with their sizes."""
+    """Data files of a file, folder or (local) glob pattern in name order, with their sizes.
+
+    The paths of a store keep the scheme and host of ``path``, so that tasks open the same store.
+    """
+    path = path.rstrip("/")
     store, bare = open_fs(path)
-    if isinstance(store, fs.LocalFileSystem) and glob.has_magic(bare):
+    local = isinstance(store, fs.LocalFileSystem)
+    prefix = "" if local else path[: len(path) - len(bare)]
+    if local and glob.has_magic(bare):
         infos = store.get_file_info(sorted(glob.glob(bare)))
     else:
         info = store.get_file_info(bare)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(path)
         infos = [info] if info.is_file else store.get_file_info(fs.FileSelector(bare, recursive=False))
-    found = [(i.path, i.size) for i in infos if i.is_file and not i.base_name.startswith(("_", "."))]
+    found = [(prefix + i.path, i.size) for i in infos if i.is_file and not i.base_name.startswith(("_", "."))]
     return sorted(found)
 
 

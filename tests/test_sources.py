@@ -56,7 +56,7 @@ def contents(df):
     return [tuple([tuple(h) for h in r[s]] for s in ("side1", "side2")) for r in rows]
 
 
-@pytest.mark.parametrize("split", [1, 9000, 1 << 20])
+@pytest.mark.parametrize("split", [1000, 8162, 9000, 1 << 20])
 def test_fixed_round_trip_at_any_split(spark, folder, split):
     write(folder, "a.ldat", fixed(EVENTS, 255))
     got = read(spark, "fixed_events", folder, split_bytes=split)
@@ -166,6 +166,23 @@ def test_long_form_keeps_hit_order(spark, folder):
     assert [(r["hit_idx"], r["time"], r["energy"], r["channel"]) for r in first] == [(0, 1, 1.5, 10), (1, 2, 2.5, 11)]
 
 
+@pytest.mark.parametrize("form", ["{}", "{}/", "file:{}", "file://{}", "{}/*.ldat", "{}/a.ldat"])
+def test_path_forms(spark, folder, form):
+    write(folder, "a.ldat", compact(EVENTS[:2]))
+    write(folder, "_b.ldat", b"an unfinished file")
+    assert contents(read(spark, "compact_events", form.format(folder))) == EVENTS[:2]
+
+
+def test_missing_folder(spark, folder):
+    with pytest.raises(Exception, match="nowhere"):
+        read(spark, "compact_events", f"{folder}/nowhere").collect()
+
+
+def test_empty_folder_has_no_events(spark, folder):
+    for kind in ("compact_events", "fixed_events"):
+        assert read(spark, kind, folder).count() == 0
+
+
 def test_position_of_file_name(spark):
     names = [("scan_pos12_x.ldat",), ("pos-3.ldat",), ("a_b.ldat",), ("7pos_pos9.ldat",)]
     got = spark.createDataFrame(names, "n string").select(position_of("n")).collect()
