@@ -6,8 +6,8 @@ two similar sets agree in a block (pigeonhole); sets are joined on blocks within
 pass a Hamming filter on whole sketches and are then compared by their texts.
 
 No group of rows that share a block is expanded into pairs when it is large. Its members are compared with one of them
-only. If that leaves the group in more than one component, the block is *hot* (a passage that many texts have): its
-members are joined again by the blocks that come next, hot ones last.
+only. If that leaves the group in more than one component (a passage that many texts have), its members are joined again, by
+single shingles, the rarest first, so that what many texts have comes last.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ from pyspark.sql import Window
 
 from hitframe.llm.common import arrow_schema, map_partition
 from hitframe.llm.components import components
-from hitframe.llm.shingles import band_blocks, bands_of, fingerprint, parity_sketch, shingle_set, similar, sketch_keys
+from hitframe.llm.shingles import fingerprint, parity_sketch, shingle_set, similar, sketch_keys
 from hitframe.session import written
 
-#: Bits of the sketch of the Hamming filter, members up to which a group is expanded into all its pairs, keys that are broadcast.
-BITS, SMALL, BROADCAST_KEYS = 1024, 8, 1_000_000
+#: Bits of the sketch of the Hamming filter; members up to which a group of a block, or of a rare shingle, is expanded into all its
+#: pairs; keys that are broadcast.
+BITS, SMALL, SMALL_RARE, BROADCAST_KEYS = 1024, 8, 32, 1_000_000
 PAIR_DDL = "a long, b long, key long, hot boolean"
 
 
@@ -151,63 +152,77 @@ def across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return joined.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).drop("comp_a", "comp_b")
 
 
-def next_keys(texts: DataFrame, hot: DataFrame) -> DataFrame:
-    """key, set_id of documents: as many keys as the pigeonhole asks for, those that are ``hot`` only after all others."""
+def rare_first(texts: DataFrame) -> DataFrame:
+    """key, set_id: of every text its rarest shingles, as many as two similar sets must share one of.
+
+    Sets that are similar have 80 of 100 of the larger one in common, so in any order that is the same for all, one of the
+    first fifth (and one more) is in both. The order is by the number of these texts that have a shingle.
+    """
 
     def make(rows):
-        for text in rows:
-            codes = shingle_set(text[0])
-            set_id = fingerprint(codes)
-            for band, need in bands_of(len(codes)):
-                keys = band_blocks(codes, band).view(np.int64).tolist()
-                yield from ((set_id, band, need, place, key) for place, key in enumerate(keys))
+        for (text,) in rows:
+            codes = shingle_set(text)
+            yield fingerprint(codes), len(codes), codes.view(np.int64)
 
-    rows = map_partition(texts.select("text"), make, "set_id long, band int, need int, place int, key long").distinct()
-    marked = rows.join(hot.select("key", F.lit(1).alias("is_hot")), "key", "left").fillna(0, ["is_hot"])
-    order = Window.partitionBy("set_id", "band").orderBy("is_hot", "place")
-    return marked.withColumn("rank", F.row_number().over(order)).where("rank <= need").select("key", "set_id", "is_hot")
+    rows = map_partition(texts.select("text"), make, "set_id long, n long, codes array<long>")
+    rows = rows.select("set_id", "n", F.explode("codes").alias("key")).distinct()
+    counted = rows.join(rows.groupBy("key").agg(F.count("*").alias("texts")), "key")
+    order = Window.partitionBy("set_id").orderBy("texts", "key")
+    return counted.withColumn("rank", F.row_number().over(order)).where("rank <= n - (4 * n + 4) div 5 + 1").select("key", "set_id")
 
 
-def linked(docs: DataFrame, rows: DataFrame, small: int = SMALL) -> DataFrame | None:
-    """``node, comp`` of all sets with links (None: there is no link), from the written ``sketches`` of ``docs``."""
-    first = rows.where(F.col("keys").isNotNull()).groupBy("set_id")
-    sets = written(first.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
-    keyed = rows.where(F.col("keys").isNotNull()).select("set_id", F.explode("keys").alias("key"))
-    edges, labels, hot, rest_of_hot = None, None, None, []
+class Links:
+    """Links found so far, and the components that they make."""
 
-    def link(found: DataFrame):
-        nonlocal edges, labels
+    def __init__(self, docs: DataFrame, sets: DataFrame):
+        self.docs, self.sets = docs, sets
+        self.edges: DataFrame | None = None
+        self.labels: DataFrame | None = None
+
+    def add(self, found: DataFrame) -> None:
         found = written(found, "links")
         if not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            labels = components(edges)
-
-    while True:
-        met = written(met_in_groups(keyed, small), "pairs")
-        near = written(across(near_sketches(met, sets), labels), "near")
-        if not near.isEmpty():
-            texts = texts_of(docs, ends_of(near))
-            best = near.groupBy("b").agg(F.min_by(F.struct("a", "doc_a", "doc_b"), F.struct("apart", "a")).alias("m"))
-            link(similar_pairs(best.select("m.a", "b", "m.doc_a", "m.doc_b"), texts))
-            rest = near.join(best.select("m.a", "b"), ["a", "b"], "left_anti")
-            link(similar_pairs(across(rest, labels), texts))
+            self.edges = found if self.edges is None else self.edges.unionByName(found)
+            self.labels = components(self.edges)
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Compare the texts of ``pairs`` (a, b) whose sketches are near: of each ``b`` its nearest first, then what is still apart."""
+        near = written(across(near_sketches(pairs, self.sets), self.labels), "near")
+        if near.isEmpty():
+            return
+        texts = texts_of(self.docs, ends_of(near))
+        best = near.groupBy("b").agg(F.min_by(F.struct("a", "doc_a", "doc_b"), F.struct("apart", "a")).alias("m"))
+        self.add(similar_pairs(best.select("m.a", "b", "m.doc_a", "m.doc_b"), texts))
+        rest = near.join(best.select("m.a", "b"), ["a", "b"], "left_anti")
+        self.add(similar_pairs(across(rest, self.labels), texts))
+
+    def open_groups(self, met: DataFrame) -> DataFrame:
+        """key, set_id: members of large groups that are not one component."""
         large = met.where("hot").select("key", "a", "b")
-        open_keys = across(large, labels).select("key").distinct()
-        fresh = written(open_keys if hot is None else open_keys.join(hot, "key", "left_anti"), "hot")
-        if hot is not None:  # hot blocks are all that these documents have left to share
-            last = large.join(open_keys.join(hot, "key", "left_semi"), "key", "left_semi")
-            rest_of_hot.append(last.select("key", F.col("a").alias("set_id")).unionByName(last.select("key", F.col("b").alias("set_id"))))
-        if fresh.isEmpty():
-            break
-        hot = fresh if hot is None else hot.unionByName(fresh)
-        members = large.join(fresh, "key", "left_semi")
-        ids = members.select(F.col("a").alias("set_id")).unionByName(members.select(F.col("b").alias("set_id"))).distinct()
-        keyed = written(next_keys(texts_of(docs, ids.join(sets, "set_id").select("doc_id").distinct()), hot), "keys")
-    for last in rest_of_hot:
-        near = written(near_sketches(apart_in_groups(last.distinct(), sets, labels), sets), "near")
-        if not near.isEmpty():
-            link(similar_pairs(near, texts_of(docs, ends_of(near))))
-    return labels
+        keys = across(large, self.labels).select("key").distinct()
+        members = large.join(keys, "key", "left_semi")
+        both = members.select("key", F.col("a").alias("set_id")).unionByName(members.select("key", F.col("b").alias("set_id")))
+        return written(both.distinct(), "open")
+
+
+def linked(docs: DataFrame, rows: DataFrame, small: int = SMALL, small_rare: int = SMALL_RARE) -> DataFrame | None:
+    """``node, comp`` of all sets with links (None: there is no link), from the written ``sketches`` of ``docs``."""
+    own = rows.where(F.col("keys").isNotNull())
+    first = own.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sets = written(first, "sets")
+    links = Links(docs, sets)
+    keyed = own.select("set_id", F.explode("keys").alias("key"))
+    for level, most in enumerate((small, small_rare)):
+        met = written(met_in_groups(keyed, most), "pairs")
+        links.compare(met)
+        members = links.open_groups(met)
+        if members.isEmpty():
+            return links.labels
+        if not level:
+            texts = texts_of(docs, members.select("set_id").distinct().join(sets, "set_id").select("doc_id").distinct())
+            keyed = rare_first(texts)
+    links.compare(apart_in_groups(members, sets, links.labels))
+    return links.labels
 
 
 def ends_of(near: DataFrame) -> DataFrame:
