@@ -7,7 +7,8 @@ pass a Hamming filter on whole sketches and are then compared by their texts.
 
 No group of rows that share a block is expanded into pairs when it is large. Its members are compared with one of them
 only. If that leaves the group in more than one component (a passage that many texts have), its members are joined again, by
-single shingles, the rarest first, so that what many texts have comes last.
+single shingles, the rarest first, so that what many texts have comes last. Groups that are open even then (near copies of
+one text, many of them too far from it for a link) are compared by sketches in blocks, and only pairs with near sketches leave the task.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ from hitframe.session import written
 #: Bits of the sketch of the Hamming filter; members up to which a group of a block, or of a rare shingle, is expanded into all its
 #: pairs; keys that are broadcast.
 BITS, SMALL, SMALL_RARE, BROADCAST_KEYS = 1024, 8, 32, 1_000_000
+#: Members of a block of an open group.
+BLOCK = 512
+BLOCK_DDL = "key long, lane long, ids binary, comps binary, sizes binary, sketches binary"
 PAIR_DDL = "a long, b long, key long, hot boolean"
 
 
@@ -204,6 +208,57 @@ class Links:
         both = members.select("key", F.col("a").alias("set_id")).unionByName(members.select("key", F.col("b").alias("set_id")))
         return written(both.distinct(), "open")
 
+    def near_in_groups(self, members: DataFrame) -> DataFrame:
+        """Pairs (a, b) of a group's members in different components whose sketches are near.
+
+        Members are packed into blocks, and blocks of a group meet in a grid; sketches are compared inside a task, and only
+        pairs that pass the Hamming filter come out.
+        """
+        rows = members.join(self.sets.select("set_id", "n", "sketch"), "set_id")
+        if self.labels is None:
+            rows = rows.withColumn("comp", F.col("set_id"))
+        else:
+            rows = rows.join(self.labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+        lanes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("lanes"))
+        spread = rows.join(lanes, "key").withColumn("lane", F.pmod(F.xxhash64("set_id"), F.col("lanes"))).select("key", "lane", "set_id", "comp", "n", "sketch")
+        packed = written(map_partition(spread.repartition("key", "lane").sortWithinPartitions("key", "lane"), pack_blocks, BLOCK_DDL), "blocks")
+        packed = packed.withColumn("block", F.xxhash64("lane", "ids"))
+        of = lambda side: packed.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "ids", "comps", "sizes", "sketches")))
+        met = of("a").join(of("b"), "key").where("block_a <= block_b")
+        columns = [f"{c}_{side}" for side in "ab" for c in ("ids", "comps", "sizes", "sketches")]
+        return map_partition(met.select(columns), compare_blocks, "a long, b long").distinct()
+
+
+def pack_blocks(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Blocks of at most ``BLOCK`` members from (key, lane, set_id, comp, n, sketch), which come in the order of key and lane."""
+
+    def packed(place, held):
+        ids, comps, sizes, sketches = zip(*held)
+        return (*place, *(np.array(c, np.int64).tobytes() for c in (ids, comps, sizes, sketches)))
+
+    place, held = None, []
+    for key, lane, *member in rows:
+        if held and (place != (key, lane) or len(held) == BLOCK):
+            yield packed(place, held)
+            held = []
+        place = (key, lane)
+        held.append(member)
+    if held:
+        yield packed(place, held)
+
+
+def compare_blocks(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for row in rows:
+        ids_a, comps_a, n_a, bits_a, ids_b, comps_b, n_b, bits_b = (np.frombuffer(c, np.int64) for c in row)
+        bits_a, bits_b = (x.view(np.uint64).reshape(len(i), -1) for x, i in ((bits_a, ids_a), (bits_b, ids_b)))  # counts need unsigned
+        for i in range(len(ids_a)):
+            sizes = 5 * np.minimum(n_a[i], n_b) >= 4 * np.maximum(n_a[i], n_b)
+            others = np.flatnonzero(sizes & (comps_a[i] != comps_b))
+            apart = np.bitwise_count(bits_a[i] ^ bits_b[others]).sum(axis=1)
+            for j in others[9 * apart <= n_a[i] + n_b[others]]:
+                a, b = int(ids_a[i]), int(ids_b[j])
+                yield (a, b) if a < b else (b, a)
+
 
 def linked(docs: DataFrame, rows: DataFrame, small: int = SMALL, small_rare: int = SMALL_RARE) -> DataFrame | None:
     """``node, comp`` of all sets with links (None: there is no link), from the written ``sketches`` of ``docs``."""
@@ -221,7 +276,7 @@ def linked(docs: DataFrame, rows: DataFrame, small: int = SMALL, small_rare: int
         if not level:
             texts = texts_of(docs, members.select("set_id").distinct().join(sets, "set_id").select("doc_id").distinct())
             keyed = rare_first(texts)
-    links.compare(apart_in_groups(members, sets, links.labels))
+    links.compare(links.near_in_groups(members))
     return links.labels
 
 
@@ -229,15 +284,6 @@ def ends_of(near: DataFrame) -> DataFrame:
     return near.select(F.col("doc_a").alias("doc_id")).unionByName(near.select(F.col("doc_b").alias("doc_id"))).distinct()
 
 
-def apart_in_groups(keyed: DataFrame, sets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs a < b of a key's members in different components and of sizes that allow a link."""
-    rows = keyed.join(sets.select("set_id", "n"), "set_id")
-    rows = rows.withColumn("comp", F.col("set_id")) if labels is None else rows.join(labels, rows["set_id"] == labels["node"], "left").withColumn("comp", F.coalesce("comp", "set_id"))
-    of = lambda side: rows.select("key", F.col("set_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("comp").alias(f"comp_{side}"))
-    pairs = of("a").join(of("b"), "key").where("a < b AND comp_a != comp_b AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
-    return pairs.select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, small: int = SMALL) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach, its own included).
 
