@@ -18,8 +18,11 @@ from hitframe.session import scratch_path
 BATCH_BYTES = 1 << 30
 #: Up to so many hit keys (8 bytes each) are broadcast to filter the texts; beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State in RocksDB; it shall not reserve megabytes of disk for each of many small stores.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -33,15 +36,17 @@ def sha256(value: Column) -> Column:
 def keep_state(log: DataFrame, checkpoint: str) -> None:
     """Feed a streaming ``log`` (row, doc_id, digest, file) to the state below ``checkpoint``; a later call goes on from there."""
     spark = log.sparkSession
-    before = spark.conf.get(PROVIDER, None)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "file")  # null ids come last
     state = log.groupBy("digest").agg(F.min(first).alias("first"), F.count("*").alias("n"))
-    spark.conf.set(PROVIDER, ROCKS)
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         sink = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
         sink.trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
