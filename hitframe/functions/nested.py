@@ -49,10 +49,10 @@ class ChannelArrays:
             places[entry[0]] = entry[1:]
         return cls(config.channels, [slots.get(i) for i in range(max(slots) + 1)], places)
 
-    def enrich(self, hits: Column | str, unmapped: str = "drop") -> Column:
+    def enrich(self, hits: Column | str, unmapped: str = "fail") -> Column:
         """Hit array with module and ``place`` (minimodule, types, position, slab) of every channel.
 
-        Unmapped hits are dropped, kept with NULLs, or an error.
+        Unmapped hits are an error, or dropped or kept with NULLs on request.
         """
         bits = self.channels.bit_length() - 1
         if self.channels != 1 << bits:
@@ -189,7 +189,7 @@ def with_features(
     axis: str = "x",
     x_power: float = 1,
     y_power: float = 2,
-    unmapped: str = "drop",
+    unmapped: str = "fail",
 ) -> DataFrame:
     """Events with the usual features of both sides, as structs ``f1`` and ``f2``; a narrow transformation.
 

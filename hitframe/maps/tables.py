@@ -16,12 +16,12 @@ def module_ids(channel_map: DataFrame) -> DataFrame:
     return channel_map.select("channel", (F.col("sm") * 1000 + F.col("mm")).alias("mm_id"))
 
 
-def bounded_regions(region_map: DataFrame, max_region: int = 100) -> DataFrame:
+def bounded_regions(region_map: DataFrame, max_region: int) -> DataFrame:
     """Regions of modules, only those below the bound that the pair table allows."""
     return region_map.filter(F.col("region") < max_region)
 
 
-def bounded_decompression(dec_map: DataFrame, max_channel: int | None = None, max_slab: int = 16) -> DataFrame:
-    """Decompression ranges whose channel and slab lie within the bounds."""
-    kept = dec_map.filter(F.col("slab") < max_slab)
+def bounded_decompression(dec_map: DataFrame, max_channel: int | None = None, max_slab: int | None = None) -> DataFrame:
+    """Decompression ranges whose channel and slab lie within the bounds; without a bound, all."""
+    kept = dec_map if max_slab is None else dec_map.filter(F.col("slab") < max_slab)
     return kept if max_channel is None else kept.filter(F.col("time_ch") < max_channel)

@@ -238,12 +238,15 @@ def impact_profile(cells: DataFrame, events: DataFrame | None = None, n: int = 6
     """Mean cell energy by rank, relative to the strongest cell, over the given events; and the mean maximum.
 
     ``cells`` holds the cells of one side, ``events`` the keys of the events to use (all by default). A group of the ranking window is
-    one event's cells, at most one per matrix position. Ranks an event lacks count as 0. One row per rank 1..n.
+    one event's cells, at most one per matrix position. Ranks an event lacks count as 0. One row per rank 1..n; an event
+    of more than ``n`` cells is an error.
     """
     used = cells if events is None else cells.join(events.select(*EVENT), EVENT, "left_semi")
     w = Window.partitionBy(*EVENT).orderBy(F.desc("energy"), "row", "col")
     whole = Window.partitionBy(*EVENT)
     ranked = used.withColumns({"_rank": F.row_number().over(w), "_max": F.max("energy").over(whole)})
+    fits = F.when(F.col("_rank") <= n, True).otherwise(F.raise_error(F.lit(f"event with more than {n} cells")).cast("boolean"))
+    ranked = ranked.filter(fits)
     share = F.try_divide(F.col("energy"), F.col("_max"))
     first = F.when(F.col("_rank") == 1, F.col("_max"))
     sums = ranked.agg(

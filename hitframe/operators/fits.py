@@ -221,5 +221,9 @@ def photopeak_window(
 def in_photopeak(window: DataFrame, energy: Column | str = "energy1") -> Column:
     """Condition on ``energy`` using the one-row window as one scalar subquery, so no join is involved."""
     e = F.col(energy) if isinstance(energy, str) else energy
-    limits = window.select(F.struct("peak_low", "peak_high").alias("limits")).scalar()
+    # a window without a fit would let nothing pass, which looks like a result
+    problem = F.coalesce("problem", F.lit("no fit")) if "problem" in window.columns else F.lit("no fit")
+    failed = F.raise_error(F.concat(F.lit("no photopeak window: "), problem)).cast("double")
+    low, high = (F.coalesce(F.col(c), failed).alias(c) for c in ("peak_low", "peak_high"))
+    limits = window.select(F.struct(low, high).alias("limits")).scalar()
     return (e > limits["peak_low"]) & (e < limits["peak_high"])

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder is made and used instead.
+    Only where the setting is absent and Spark runs on one machine (tests, a laptop), a temporary folder is made and used.
+    On a cluster each executor would write to its own disk, so there the setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(made)
     return made

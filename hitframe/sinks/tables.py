@@ -8,29 +8,33 @@ from pyspark.sql import functions as F
 from hitframe.operators.features import choose_strongest, per_module
 from hitframe.schema import MODULE, SIDE
 
+#: Rows and columns of a module, where the caller doesn't say.
 LINES = 8
 
 
 def training_table(
-    hits: DataFrame, x_pitch: float, y_pitch: float | None = None, parity: bool = False
+    hits: DataFrame, x_pitch: float, y_pitch: float | None = None, parity: bool = False, lines: int = LINES
 ) -> DataFrame:
-    """Per event side: energy sums by column (``col_0..7``, by y) and row (``row_0..7``, by x) of the strongest module.
+    """Per event side: energy sums by column (``col_0..``, by y) and row (``row_0..``, by x) of the strongest module.
 
-    All hit types count. ``parity`` also counts hits of the same minimodule number in other supermodules.
+    A module has ``lines`` rows and columns; a hit outside them is an error, so no energy is lost. All hit types count. ``parity`` also counts hits of the same minimodule number in other supermodules.
     """
     row = F.floor(F.col("x") / F.lit(float(x_pitch)))
     col = F.floor(F.col("y") / F.lit(float(y_pitch or x_pitch)))
 
+    inside = row.between(0, lines - 1) & col.between(0, lines - 1)
+    hits = hits.filter(F.when(inside | row.isNull() | col.isNull(), True).otherwise(F.raise_error(F.lit("hit outside the rows and columns of a module")).cast("boolean")))
+
     def line(index: Column, k: int, name: str) -> Column:
         return F.coalesce(F.sum(F.when(index == k, F.col("energy"))), F.lit(0.0)).alias(f"{name}_{k}")
 
-    lines = [line(col, k, "col") for k in range(LINES)] + [line(row, k, "row") for k in range(LINES)]
-    names = [f"{n}_{k}" for n in ("col", "row") for k in range(LINES)]
+    sums = [line(col, k, "col") for k in range(lines)] + [line(row, k, "row") for k in range(lines)]
+    names = [f"{n}_{k}" for n in ("col", "row") for k in range(lines)]
     if not parity:
-        picked = choose_strongest(per_module(hits, *lines), [*MODULE, *names])
+        picked = choose_strongest(per_module(hits, *sums), [*MODULE, *names])
     else:
-        sums = hits.groupBy(*SIDE, "mm").agg(*lines)
-        picked = choose_strongest(per_module(hits), MODULE).join(sums, [*SIDE, "mm"])
+        by_number = hits.groupBy(*SIDE, "mm").agg(*sums)
+        picked = choose_strongest(per_module(hits), MODULE).join(by_number, [*SIDE, "mm"])
     return picked.select(*SIDE, *names, "mm", "sm")
 
 

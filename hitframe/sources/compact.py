@@ -58,7 +58,7 @@ def _torn_tail(rest: bytes, sides: int):
 
 
 def decode_bytes(
-    path: str, file_id: int, start: int, stop: int, first_event: int, sides: int, min_energy: float, mode: str
+    path: str, file_id: int, start: int, stop: int, first_event: int, sides: int, min_energy: float | None, mode: str
 ) -> Iterator[pa.RecordBatch]:
     """Events of a byte range that starts at a record, read in chunks."""
     store, bare = open_fs(path)
@@ -107,7 +107,8 @@ class CompactReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.sides = 1 if options.get("group", "false").lower() == "true" else 2
-        self.min_energy = float(options.get("min_energy", 0))
+        threshold = options.get("min_energy")
+        self.min_energy = None if threshold is None else float(threshold)
         self.index = options.get("index")
         self.mode = options.get("mode", "permissive").lower()
         if self.mode not in MODES:
@@ -156,7 +157,7 @@ class CompactReader(DataSourceReader):
 class CompactEvents(DataSource):
     """``spark.read.format("compact_events")``.
 
-    Options: ``group`` and ``mode`` as for fixed files, ``min_energy`` (0 by default, so negative energies are dropped),
+    Options: ``group`` and ``mode`` as for fixed files, ``min_energy`` (inclusive hit threshold, none by default),
     and ``index``, the path of a split index table.
     A torn last record is reported as an event with ``corrupt`` set and the cut side empty.
     """

@@ -38,7 +38,9 @@ def open_fs(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def list_files(path: str) -> list[tuple[str, int]]:
-    """Data files of a file, folder or (local) glob pattern in name order, with their sizes.
+    """Data files of a file, folder with all its subfolders, or (local) glob pattern in name order, with their sizes.
+
+    Names that start with ``_`` or ``.`` are no data, nor is what lies in folders of such names. A place without data is an error.
 
     The paths of a store keep the scheme and host of ``path``, so that tasks open the same store.
     """
@@ -52,8 +54,16 @@ def list_files(path: str) -> list[tuple[str, int]]:
         info = store.get_file_info(bare)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(path)
-        infos = [info] if info.is_file else store.get_file_info(fs.FileSelector(bare, recursive=False))
-    found = [(prefix + i.path, i.size) for i in infos if i.is_file and not i.base_name.startswith(("_", "."))]
+        infos = [info]
+    found = []
+    for top in infos:
+        below = [top] if top.is_file else store.get_file_info(fs.FileSelector(top.path, recursive=True))
+        for i in below:
+            inner = i.path[len(top.path) :] if not top.is_file else i.base_name
+            if i.is_file and not any(part.startswith(("_", ".")) for part in inner.split("/")):
+                found.append((prefix + i.path, i.size))
+    if not found:
+        raise FileNotFoundError(f"no data files in {path}")
     return sorted(found)
 
 

@@ -58,8 +58,7 @@ def landing_events(
 def _decode_piece(row: dict, layout: str, sides: int, min_energy: float | None) -> Iterator[pa.RecordBatch]:
     path, start, stop = row["path"], row["start"], row["stop"]
     if layout == "compact":
-        threshold = 0.0 if min_energy is None else min_energy
-        yield from decode_bytes(path, row["file_id"], start, stop, 0, sides, threshold, "permissive")
+        yield from decode_bytes(path, row["file_id"], start, stop, 0, sides, min_energy, "permissive")
         return
     yield from decode_piece(path, row["file_id"], row["length"], start, stop, sides, min_energy)
 

@@ -90,11 +90,10 @@ def test_fixed_counter_above_the_limit_is_corrupt(spark, folder):
 def test_compact_round_trip(spark, folder):
     write(folder, "a.ldat", compact(EVENTS))
     write(folder, "b.ldat", compact(EVENTS[::-1]))
-    low = "-inf"
-    assert contents(read(spark, "compact_events", folder, min_energy=low)) == EVENTS + EVENTS[::-1]
-    default = contents(read(spark, "compact_events", folder))
-    assert default[4] == ([], [])  # the default threshold of 0 drops a negative energy
-    assert default[:4] == EVENTS[:4]
+    assert contents(read(spark, "compact_events", folder)) == EVENTS + EVENTS[::-1]
+    positive = contents(read(spark, "compact_events", folder, min_energy=0))
+    assert positive[4] == ([], [])  # a threshold of 0 drops a negative energy
+    assert positive[:4] == EVENTS[:4]
 
 
 def test_compact_group(spark, folder):
@@ -178,9 +177,19 @@ def test_missing_folder(spark, folder):
         read(spark, "compact_events", f"{folder}/nowhere").collect()
 
 
-def test_empty_folder_has_no_events(spark, folder):
-    for kind in ("compact_events", "fixed_events"):
-        assert read(spark, kind, folder).count() == 0
+def test_a_folder_without_data_is_an_error(spark, folder):
+    for layout in ("fixed_events", "compact_events"):
+        with pytest.raises(Exception, match="no data files"):
+            read(spark, layout, folder).collect()
+
+
+def test_subfolders_are_read(spark, folder):
+    import os
+
+    for run in ("run=1", "run=2", "_temporary"):
+        os.makedirs(f"{folder}/{run}")
+        write(f"{folder}/{run}", "a.ldat", compact(EVENTS[:3]))
+    assert read(spark, "compact_events", folder).count() == 6
 
 
 def test_position_of_file_name(spark):

@@ -84,7 +84,9 @@ def test_coincidence_window_is_strict(spark):
 def test_unmapped_channels_drop_keep_fail(spark):
     h = spark.createDataFrame([(1, 5), (2, 6)], "event_id int, channel int")
     dim = spark.createDataFrame([(5, 0)], "channel int, sm int")
-    assert lookups.with_channels(h, dim).count() == 1
+    assert lookups.with_channels(h, dim, "drop").count() == 1
+    with pytest.raises(Exception, match="no entry"):
+        lookups.with_channels(h, dim).collect()
     assert lookups.with_channels(h, dim, "keep").count() == 2
     with pytest.raises(Exception, match="no entry for channel = 6"):
         lookups.with_channels(h, dim, "fail").collect()

@@ -217,4 +217,4 @@ def m11_bounded(spark, sf):
     dec_map = table(spark, sf, "part").select(
         F.col("p_partkey").cast("int").alias("time_ch"), (F.col("p_size") % 20).alias("slab"), F.col("p_retailprice").alias("y_min")
     )
-    return maps.bounded_decompression(dec_map, max_channel=1500)
+    return maps.bounded_decompression(dec_map, max_channel=1500, max_slab=16)

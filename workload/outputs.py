@@ -180,15 +180,22 @@ def linear_model():
     return predict
 
 
+SIGNALS = [f"{n}_{k}" for n in ("col", "row") for k in range(8)]
+WEIGHTED = " + ".join(f"{c} * {k} / 16.0::DOUBLE" for k, c in enumerate(SIGNALS, 1))
+WEIGHTED_BACK = " + ".join(f"{c} * {17 - k} / 16.0::DOUBLE" for k, c in enumerate(SIGNALS, 1))
+
+
 @query(
     "x01_model_inference",
-    """SELECT vec_id, round(list_sum(list_transform(range(1, 17), lambda i: embedding[i]::DOUBLE * i / 16.0::DOUBLE))
-                            + label, 4) AS local_y,
-              round(list_sum(list_transform(range(1, 17), lambda i: embedding[i]::DOUBLE * (17 - i) / 16.0::DOUBLE)), 4)
-                AS depth
-       FROM embeddings""",
+    with_views(
+        "hs_a",
+        f"""SELECT event_id, side, round({WEIGHTED} + mm, 4) AS local_y, round({WEIGHTED_BACK}, 4) AS depth
+            FROM (SELECT event_id, side, {LINE_SUMS}, mm, sm FROM hs_a GROUP BY event_id, side, mm, sm)""",
+    ),
 )
 def x01(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 16).alias("signals"))
-    out = predict_positions(rows, linear_model, category_y="label")
-    return out.select("vec_id", F.round("local_y", 4).alias("local_y"), F.round("depth", 4).alias("depth"))
+    """The model reads what the training table holds: the 16 line sums of each side's strongest module."""
+    rows = sinks.training_table(hits_a(spark, sf), 3.0)
+    rows = rows.select("event_id", "side", "mm", F.array(*[F.col(c).cast("double") for c in SIGNALS]).alias("signals"))
+    out = predict_positions(rows, linear_model, category_y="mm")
+    return out.select("event_id", "side", F.round("local_y", 4).alias("local_y"), F.round("depth", 4).alias("depth"))
