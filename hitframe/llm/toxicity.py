@@ -163,31 +163,29 @@ def train(
     return ToxicityModel(vectors @ out, bias, window)
 
 
-def sample(labelled: DataFrame, label: str, rows: int = ROWS, chars: int = CHARS) -> DataFrame:
-    """At most ``rows`` rows of each label and ``chars`` characters, in the order of a hash of the id, with the rows of their label."""
-    usable = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), text_or_empty().alias("text"), "doc_id")
-    parts = []
-    for y in (0, 1):
-        own = usable.where(F.col("y") == y)
-        parts.append(own.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows))
-    return parts[0].unionByName(parts[1])
+def sample(marks: DataFrame, rows: int = ROWS) -> DataFrame:
+    """At most ``rows`` ids of each label (doc_id, toxic), in the order of a hash of the id."""
+    of = lambda y: marks.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return of(0).unionByName(of(1))
 
 
 def fit(documents: DataFrame, labels: DataFrame, usable: Column, rows: int = ROWS, chars: int = CHARS, **options) -> ToxicityModel:
     """A model of ``labels.toxic``, from a bounded sample of the labelled rows that are ``usable``.
 
-    Weights give the two labels the shares that they have among all usable rows. Labels that are null or neither 0 nor 1
-    are left out, as are labels without a document.
+    The sample is drawn from the ids, which are then broadcast (``2 * rows`` of them at most), so texts are filtered where they
+    are read and none is shuffled. The driver gets at most ``2 * rows`` texts, the shortest first, and ``chars`` characters. Weights
+    give the two labels the shares that they have among all usable rows. Labels that are null or neither 0 nor 1 are left
+    out, as are labels without a document; a document with several labels is toxic if one says so.
     """
-    marks = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = documents.select("doc_id", "text").where(usable).join(marks, "doc_id")
-    totals = {r["toxic"]: r["n"] for r in marks.where(usable).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(usable)
+    totals = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    chosen = documents.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample(marks, rows)), "doc_id").limit(2 * rows)
     texts, ys, used = [], [], 0
-    for r in sorted(sample(labelled, "toxic", rows).collect(), key=lambda r: (len(r["text"]), r["text"])):
+    for r in sorted(chosen.collect(), key=lambda r: (len(r["text"]), r["text"])):
         if used + len(r["text"]) > chars:
             break
         texts.append(r["text"])
-        ys.append(r["y"])
+        ys.append(int(r["toxic"]))
         used += len(r["text"])
     share = {y: totals.get(y, 0) / max(1, ys.count(y)) for y in (0, 1)}
     return train(texts, ys, [share[y] for y in ys], **options)
