@@ -210,13 +210,17 @@ def matrix_side(channels: int, asics: int) -> int:
 
 
 def impact_cells(
-    hits: DataFrame, pitch: float, y_pitch: float | None = None, combine: str = "last"
+    hits: DataFrame, pitch: float, y_pitch: float | None = None, combine: str = "last", total: bool = False
 ) -> DataFrame:
-    """Per event side and matrix cell: energy of the last hit in it, or their sum with ``combine="sum"``."""
+    """Per event side and matrix cell: energy of the last hit in it, or their sum with ``combine="sum"``.
+
+    ``total`` adds the cell's sum over energy hits, so that an event's total can be had without another scan.
+    """
     col = F.floor(F.col("x") / F.lit(float(pitch))).cast("int")
     row = F.floor(F.col("y") / F.lit(float(y_pitch or pitch))).cast("int")
     value = {"last": F.max_by("energy", "hit_idx"), "sum": F.sum("energy")}[combine]
-    return hits.withColumns({"row": row, "col": col}).groupBy(*SIDE, "row", "col").agg(value.alias("energy"))
+    sums = [typed_sum(F.col("energy"), F.col("is_energy")).alias("total")] if total else []
+    return hits.withColumns({"row": row, "col": col}).groupBy(*SIDE, "row", "col").agg(value.alias("energy"), *sums)
 
 
 def impact_matrix(cells: DataFrame, side: int = 8) -> DataFrame:
@@ -247,16 +251,18 @@ def impact_profile(cells: DataFrame, events: DataFrame | None = None, n: int = 6
     ranked = used.withColumns({"_rank": F.row_number().over(w), "_max": F.max("energy").over(whole)})
     fits = F.when(F.col("_rank") <= n, True).otherwise(F.raise_error(F.lit(f"event with more than {n} cells")).cast("boolean"))
     ranked = ranked.filter(fits)
-    share = F.try_divide(F.col("energy"), F.col("_max"))
-    first = F.when(F.col("_rank") == 1, F.col("_max"))
-    sums = ranked.agg(
-        F.count(first).alias("_n"),
-        F.sum(first).alias("_sum_max"),
-        F.array(*[typed_sum(share, F.col("_rank") == r) for r in range(1, n + 1)]).alias("_sums"),
+    per_rank = ranked.groupBy("_rank").agg(
+        F.sum(F.try_divide(F.col("energy"), F.col("_max"))).alias("_share"), F.count("_max").alias("_k"), F.sum("_max").alias("_tops")
+    )
+    first = F.col("_rank") == 1
+    sums = per_rank.agg(
+        F.coalesce(F.max(F.when(first, F.col("_k"))), F.lit(0)).alias("_n"),
+        F.max(F.when(first, F.col("_tops"))).alias("_sum_max"),
+        F.map_from_entries(F.collect_list(F.struct("_rank", "_share"))).alias("_shares"),  # at most n entries
     )
-    return sums.select("_n", "_sum_max", F.posexplode("_sums").alias("_pos", "_share")).select(
-        (F.col("_pos") + 1).alias("rank"),
-        F.bround(F.try_divide(F.col("_share"), F.col("_n")), 3).alias("mean_share"),
+    return sums.select("_n", "_sum_max", "_shares", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rank")).select(
+        "rank",
+        F.bround(F.try_divide(F.coalesce(F.try_element_at("_shares", F.col("rank")), F.lit(0.0)), F.col("_n")), 3).alias("mean_share"),
         F.bround(F.try_divide(F.col("_sum_max"), F.col("_n")), 3).alias("mean_max"),
         F.col("_n").alias("n_events"),
     )
@@ -265,21 +271,33 @@ def impact_profile(cells: DataFrame, events: DataFrame | None = None, n: int = 6
 # --- neighbours -------------------------------------------------------------------------------------------------
 
 
-def neighbour_hits(hits: DataFrame, mode: int, x_pitch: float, y_pitch: float, axis: str = "x") -> DataFrame:
-    """Hits near the most energetic energy hit of their side.
-
-    Mode 0: same line along ``axis`` within one pitch. Mode 1: the plus shape. Mode n >= 2: a square of half width
-    (n - 1) pitches. All limits are inclusive. The anchor is joined back by key, so a large side stays distributed.
-    """
+def _with_anchor(hits: DataFrame) -> DataFrame:
+    """Hits with the position ``_a`` of the most energetic energy hit of their side, joined by key, so a large side stays distributed."""
     anchor = F.struct(F.col("x").alias("ax"), F.col("y").alias("ay"))
     anchors = hits.groupBy(*SIDE).agg(F.min_by(anchor, strongest_first(F.col("is_energy"))).alias("_a"))
-    joined = hits.join(anchors.filter(F.col("_a").isNotNull()), SIDE)
+    return hits.join(anchors.filter(F.col("_a").isNotNull()), SIDE)
+
+
+def _near_anchor(mode: int, x_pitch: float, y_pitch: float, axis: str) -> Column:
     dx, dy = F.abs(F.col("_a.ax") - F.col("x")), F.abs(F.col("_a.ay") - F.col("y"))
     along = {"x": (dx <= x_pitch) & (dy == 0), "y": (dy <= y_pitch) & (dx == 0)}
     if mode == 0:
-        near = along[axis]
-    elif mode == 1:
-        near = along["x"] | along["y"]
-    else:
-        near = (dx <= x_pitch * (mode - 1)) & (dy <= y_pitch * (mode - 1))
-    return joined.filter(near).drop("_a")
+        return along[axis]
+    if mode == 1:
+        return along["x"] | along["y"]
+    return (dx <= x_pitch * (mode - 1)) & (dy <= y_pitch * (mode - 1))
+
+
+def neighbour_hits(hits: DataFrame, mode: int, x_pitch: float, y_pitch: float, axis: str = "x") -> DataFrame:
+    """Hits near the most energetic energy hit of their side.
+
+    Mode 0: same line along ``axis`` within one pitch. Mode 1: the plus shape. Mode n >= 2: a square of half width
+    (n - 1) pitches. All limits are inclusive.
+    """
+    return _with_anchor(hits).filter(_near_anchor(mode, x_pitch, y_pitch, axis)).drop("_a")
+
+
+def neighbour_modes(hits: DataFrame, modes: dict[str, tuple[int, str]], x_pitch: float, y_pitch: float) -> DataFrame:
+    """Neighbour hits of several modes, ``{name: (mode, axis)}``, from one join: a row per hit and ``mode`` that it's near by."""
+    names = [F.when(_near_anchor(mode, x_pitch, y_pitch, axis), F.lit(name)) for name, (mode, axis) in modes.items()]
+    return _with_anchor(hits).withColumn("mode", F.explode(F.array_compact(F.array(*names)))).drop("_a")

@@ -20,16 +20,22 @@ from hitframe.schema import EVENT, MODULE, SIDE
 
 
 def side_features(
-    hits: DataFrame, axis: str = "x", x_power: float = 1, y_power: float = 2, placed: bool = False
+    hits: DataFrame, axis: str = "x", x_power: float = 1, y_power: float = 2, placed: bool = False, first_time: bool = False
 ) -> DataFrame:
     """Per event side: counts, total energy, strongest module, centroid and projected depth in two shuffles.
 
+    ``first_time`` adds the time of the side's first time hit, from the same groupings.
+
     The first grouping reduces hits to one row per (event side, module, line), whatever the share of an event is. One
     redistribution by event then serves the line window and the module, side and event groupings. ``placed`` says that
     the hits are already distributed by event (a table bucketed by it): then there is no shuffle.
     """
     e = F.when(F.col("is_energy"), F.col("energy"))
+    at = F.when(F.col("is_time"), F.col("hit_idx"))
+    starts = [F.min_by("time", at).alias("first_time"), F.min(at).alias("_at")] if first_time else []
+    earliest = [F.min_by("first_time", "_at").alias("first_time"), F.min("_at").alias("_at")] if first_time else []
     lines = hits.groupBy(*SIDE, *MODULE, axis).agg(
+        *starts,
         F.coalesce(F.sum(e), F.lit(0.0)).alias("_e"),
         F.sum("energy").alias("_all"),
         F.min("hit_idx").alias("_idx"),
@@ -49,8 +55,9 @@ def side_features(
         F.sum("_all").alias("_all"),
         F.max("_line").alias("_line"),
         *[F.sum(c).alias(c) for c in sums],
+        *earliest,
     )
-    order = F.struct((-F.col("module_energy")).alias("e"), F.col("first_idx").alias("i"))
+    order =F.struct((-F.col("module_energy")).alias("e"), F.col("first_idx").alias("i"))
     sides = modules.groupBy(*SIDE).agg(
         F.min_by(F.struct(*MODULE, "module_energy"), order).alias("_m"),
         F.sum("module_energy").alias("energy"),
@@ -59,6 +66,7 @@ def side_features(
         F.sum("_all").alias("_all"),
         F.max("_line").alias("_line"),
         *[F.sum(c).alias(c) for c in sums],
+        *earliest,
     )
     return sides.select(
         *SIDE,
@@ -71,6 +79,7 @@ def side_features(
         divided(F.col("_sx"), F.col("_wx")).alias("cx"),
         divided(F.col("_sy"), F.col("_wy")).alias("cy"),
         divided(F.col("_all"), F.col("_line")).alias("depth"),
+        *(["first_time"] if first_time else []),
     )
 
 
@@ -79,10 +88,11 @@ SIDE_VALUES = ["sm", "mm", "n_hits", "n_energy", "energy", "module_energy", "cx"
 
 def event_pairs(sides: DataFrame) -> DataFrame:
     """One row per event with a struct of features per side (NULL fields where a side has no hit)."""
-    flat = pair_sides(sides, SIDE_VALUES)
+    values = [*SIDE_VALUES, *(["first_time"] if "first_time" in sides.columns else [])]
+    flat = pair_sides(sides, values)
 
     def side(k: int):
-        return F.struct(*[F.col(f"{c}{k}").alias(c) for c in SIDE_VALUES]).alias(f"f{k}")
+        return F.struct(*[F.col(f"{c}{k}").alias(c) for c in values]).alias(f"f{k}")
 
     return flat.select(*EVENT, side(1), side(2))
 

@@ -17,7 +17,7 @@ HIT = T.StructType(
 EVENTS = T.StructType(
     [
         T.StructField("file_name", T.StringType()),
-        T.StructField("file_id", T.IntegerType()),
+        T.StructField("file_id", T.LongType()),
         T.StructField("event_id", T.LongType()),
         T.StructField("side1", T.ArrayType(HIT)),
         T.StructField("side2", T.ArrayType(HIT)),
@@ -25,8 +25,9 @@ EVENTS = T.StructType(
     ]
 )
 
-# An event is identified by its file and its ordinal in that file. The ordinal comes first: it tells most rows apart, so
-# sorts by these keys rarely look beyond it.
+# An event is identified by its file (a 64-bit hash of the whole path, so files of other runs, listings and streams keep
+# theirs) and its ordinal in that file. The ordinal comes first: it tells most rows apart, so sorts by these keys rarely
+# look beyond it.
 EVENT = ["event_id", "file_id"]
 SIDE = [*EVENT, "side"]
 MODULE = ["sm", "mm"]

@@ -140,8 +140,9 @@ def listmode_header(events: DataFrame, passed: Column, **fields) -> DataFrame:
 
 
 def store_events(events: DataFrame, path: str, run: str) -> None:
-    """Append nested events of one run to a Parquet store partitioned by run."""
-    events.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(path)
+    """Put nested events of one run into a Parquet store partitioned by run; storing a run again replaces it."""
+    writer = events.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run").parquet(path)
 
 
 def store_hits(hits: DataFrame, table: str, buckets: int = 2048, path: str | None = None) -> None:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from hitframe.schema import EVENTS
-from hitframe.sources.decode import HIT_DTYPE, MODES, base_name, event_batch, list_files, open_fs
+from hitframe.sources.decode import HIT_DTYPE, MODES, base_name, event_batch, numbered_files, open_fs
 from hitframe.sources.fixed import cleaned
 
 HIT_BYTES = HIT_DTYPE.itemsize
@@ -115,11 +115,11 @@ class CompactReader(DataSourceReader):
             raise ValueError(f"mode must be one of {MODES}")
 
     def partitions(self) -> list[InputPartition]:
-        files = list_files(self.path)
+        files = numbered_files(self.path)
         if self.index:
             ranges = self._indexed(files)
         else:
-            ranges = [ByteRange(path, i, 0, size, 0) for i, (path, size) in enumerate(files) if size]
+            ranges = [ByteRange(path, number, 0, size, 0) for path, size, number in files if size]
         return ranges or [ByteRange("", -1, 0, 0, 0)]
 
     def _indexed(self, files) -> list[InputPartition]:
@@ -128,7 +128,7 @@ class CompactReader(DataSourceReader):
 
         store, bare = open_fs(self.index)
         rows = ds.dataset(bare, filesystem=store, format="parquet").to_table().to_pylist()
-        ids = {path: (i, size) for i, (path, size) in enumerate(files)}
+        ids = {path: (number, size) for path, size, number in files}
         covered = {r["path"]: r["file_bytes"] for r in rows}
         for path, (_, size) in ids.items():
             if size and covered.get(path) != size:

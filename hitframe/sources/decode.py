@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import glob
+import hashlib
 import os
 import posixpath
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ HIT_ARROW = pa.struct([("time", pa.int64()), ("energy", pa.float32()), ("channel
 EVENTS_ARROW = pa.schema(
     [
         ("file_name", pa.string()),
-        ("file_id", pa.int32()),
+        ("file_id", pa.int64()),
         ("event_id", pa.int64()),
         ("side1", pa.list_(HIT_ARROW)),
         ("side2", pa.list_(HIT_ARROW)),
@@ -71,6 +73,20 @@ def base_name(path: str) -> str:
     return posixpath.basename(path)
 
 
+def file_number(path: str) -> int:
+    """64-bit identity of a file from its whole path: the same in every listing and stream, whatever lies beside it."""
+    plain = re.sub(r"^s3a:", "s3:", re.sub(r"^file:/+", "/", path))
+    return int.from_bytes(hashlib.blake2b(plain.encode("utf-8", "surrogateescape"), digest_size=8).digest(), "little", signed=True)
+
+
+def numbered_files(path: str) -> list[tuple[str, int, int]]:
+    """``list_files`` with the number of each file; two paths of one number are an error."""
+    files = [(name, size, file_number(name)) for name, size in list_files(path)]
+    if len({number for *_, number in files}) < len(files):
+        raise ValueError(f"two files below {path} have the same number; read them separately")
+    return files
+
+
 def hit_lists(hits: np.ndarray, counts: np.ndarray, keep: np.ndarray | None) -> pa.ListArray:
     """Nested hit array from flat hits in event order and the number of hits per event; ``keep`` masks hits out."""
     if keep is not None:
@@ -104,7 +120,7 @@ def event_batch(
     return pa.RecordBatch.from_arrays(
         [
             pa.array([name] * n, pa.string()),
-            pa.array(np.full(n, file_id, np.int32)),
+            pa.array(np.full(n, file_id, np.int64)),
             pa.array(np.arange(first_event, first_event + n, dtype=np.int64)),
             *columns,
             pa.array(corrupt),

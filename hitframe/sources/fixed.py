@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from hitframe.schema import EVENTS
-from hitframe.sources.decode import HIT_DTYPE, MODES, base_name, event_batch, list_files, open_fs
+from hitframe.sources.decode import HIT_DTYPE, MODES, base_name, event_batch, numbered_files, open_fs
 
 HEADER_BYTES = 4
 
@@ -97,7 +97,7 @@ class FixedReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         pieces = [
             FilePiece(path, file_id, size, start, min(start + self.split_bytes, size))
-            for file_id, (path, size) in enumerate(list_files(self.path))
+            for path, size, file_id in numbered_files(self.path)
             for start in range(0, size, self.split_bytes)
         ]
         return pieces or [FilePiece("", -1, 0, 0, 0)]

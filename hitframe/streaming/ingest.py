@@ -15,6 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from hitframe.schema import EVENTS
 from hitframe.sources.compact import decode_bytes
+from hitframe.sources.decode import file_number
 from hitframe.sources.fixed import decode_piece
 
 LISTING = "path string, modificationTime timestamp, length long, content binary"
@@ -31,13 +32,13 @@ def landing_events(
 ) -> DataFrame:
     """Streaming DataFrame of nested events from files that appear below ``path``.
 
-    Event identity is (file_name, event_id): a stream has no fixed numbering of files, so ``file_id`` is a hash of the
-    name. Compact files cannot be entered in the middle and are one range each.
+    Event identity is (event_id, file_id) as for files read in a batch: ``file_id`` is the same 64-bit hash of the path.
+    Compact files cannot be entered in the middle and are one range each.
     """
     reader = spark.readStream.format("binaryFile").schema(LISTING)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    files = reader.load(path).select("path", "length", F.hash("path").alias("file_id"))
+    files = reader.load(path).select("path", "length")
     if layout == "compact":
         step, pieces = F.col("length"), F.array(F.lit(0).cast("bigint"))
     else:
@@ -58,9 +59,9 @@ def landing_events(
 def _decode_piece(row: dict, layout: str, sides: int, min_energy: float | None) -> Iterator[pa.RecordBatch]:
     path, start, stop = row["path"], row["start"], row["stop"]
     if layout == "compact":
-        yield from decode_bytes(path, row["file_id"], start, stop, 0, sides, min_energy, "permissive")
+        yield from decode_bytes(path, file_number(path), start, stop, 0, sides, min_energy, "permissive")
         return
-    yield from decode_piece(path, row["file_id"], row["length"], start, stop, sides, min_energy)
+    yield from decode_piece(path, file_number(path), row["length"], start, stop, sides, min_energy)
 
 
 def append_to_table(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hitframe import sources
+from hitframe.sources.decode import file_number
 from hitframe.sources.events import position_of, to_hits
 from hitframe.sources.split_index import split_index
 from hitframe.streaming.ingest import append_to_table, landing_events
@@ -52,7 +53,7 @@ def read(spark, kind, path, **options):
 
 
 def contents(df):
-    rows = df.orderBy("file_id", "event_id").collect()
+    rows = df.orderBy("file_name", "event_id").collect()
     return [tuple([tuple(h) for h in r[s]] for s in ("side1", "side2")) for r in rows]
 
 
@@ -216,3 +217,19 @@ def test_stream_takes_every_file_once(spark, folder, layout):
     assert got.count() == 6
     assert contents(got.filter("file_name = 'b.ldat'")) == EVENTS[:2]
     assert got.select("file_name", "event_id").distinct().count() == 6
+
+
+def test_file_numbers_tell_paths_apart():
+    paths = [f"/data/run{i // 1000}/file_{i % 1000}.ldat" for i in range(100_000)]
+    assert len({file_number(p) for p in paths}) == len(paths)
+    assert file_number("file:///data/a.ldat") == file_number("file:/data/a.ldat") == file_number("/data/a.ldat")
+    assert file_number("s3a://b/a.ldat") == file_number("s3://b/a.ldat")
+
+
+def test_events_keep_their_number_beside_other_files(spark, folder):
+    write(folder, "b.ldat", fixed(EVENTS, 255))
+    before = {r["file_id"] for r in read(spark, "fixed_events", folder).collect()}
+    write(folder, "a.ldat", fixed(EVENTS, 255))
+    after = read(spark, "fixed_events", folder)
+    assert {r["file_id"] for r in after.filter("file_name = 'b.ldat'").collect()} == before
+    assert after.select("file_id").distinct().count() == 2

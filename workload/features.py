@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hitframe.operators import features, filters, slabs
+from hitframe.schema import EVENT
 from workload.fixtures import hits_a, hits_b, with_views
 from workload.registry import query
 
@@ -265,9 +265,10 @@ def a13_matrix(spark, sf):
 )
 def a14(spark, sf):
     side1 = hits_a(spark, sf).filter(F.col("side") == 1)
-    totals = features.total_energy(side1)
-    events = totals.filter(filters.energy_window("energy", 20, 120))
-    return features.impact_profile(features.impact_cells(side1, 3.0), events)
+    cells = features.impact_cells(side1, 3.0, total=True)
+    event_total = F.sum("total").over(Window.partitionBy(*EVENT))
+    kept = cells.withColumn("total", event_total).filter(filters.energy_window("total", 20, 120))
+    return features.impact_profile(kept)
 
 
 NEIGHBOUR_MODES = {
@@ -294,12 +295,8 @@ NEIGHBOUR_MODES = {
 )
 def a15(spark, sf):
     h = hits_a(spark, sf)
-
-    def near(mode: str):
-        out = features.neighbour_hits(h, int(mode[0]), 3.0, 3.0, mode[1:] or "x")
-        return out.select(F.lit(mode).alias("mode"), "event_id", "side", "hit_idx", "channel")
-
-    return reduce(lambda a, b: a.unionByName(b), [near(m) for m in NEIGHBOUR_MODES])
+    modes = {m: (int(m[0]), m[1:] or "x") for m in NEIGHBOUR_MODES}
+    return features.neighbour_modes(h, modes, 3.0, 3.0).select("mode", "event_id", "side", "hit_idx", "channel")
 
 
 @query(

@@ -5,13 +5,16 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from hitframe import sources
 from hitframe.operators import features, filters, lookups, timing
 from hitframe.operators.inference import predict_positions
 from hitframe.plans import coincidence
 from hitframe.session import scratch_path
 from hitframe.sinks import tables as sinks
+from hitframe.sources.events import to_hits
+from workload.event_files import write_event_files
 from workload.features import LAST_CELLS_SQL
-from workload.fixtures import hits_a, table, with_views
+from workload.fixtures import hits, hits_a, table, with_views
 from workload.registry import query
 
 LINE_SUMS = ", ".join(
@@ -63,19 +66,19 @@ def w02(spark, sf):
     return sinks.profile_lines(features.impact_profile(cells))
 
 
-def listmode_pairs(spark, sf):
+def listmode_pairs(spark, sf, with_dt=True):
     """Coincidences with the fields of a list-mode record; the pair of supermodules is looked up in nations."""
     h = hits_a(spark, sf)
-    pairs = coincidence.event_pairs(coincidence.side_features(h))
+    pairs = coincidence.event_pairs(coincidence.side_features(h, first_time=with_dt))
     kept = pairs.filter(F.col("f1.sm").isNotNull() & F.col("f2.sm").isNotNull())
-    dt = timing.dt_first(h).select("file_id", "event_id", F.col("dt").alias("_dt"))
+    dt = F.floor((F.col("f1.first_time") - F.col("f2.first_time")) / 10000000) if with_dt else F.lit(None)
     nation = table(spark, sf, "nation")
     pair_map = nation.select(
         (F.col("n_nationkey") * 10 + F.col("n_regionkey")).alias("p"),
         F.col("n_nationkey").alias("s0"),
         F.col("n_regionkey").alias("s1"),
     )
-    flat = kept.join(dt, ["file_id", "event_id"]).select(
+    flat = kept.select(
         "event_id",
         F.col("event_id").alias("time"),
         F.col("f1.energy").alias("energy1"),
@@ -85,7 +88,7 @@ def listmode_pairs(spark, sf):
         *[F.floor(F.round(F.col(f"f{i}.depth") * 10, 9)).alias(f"zPosition{i}") for i in (1, 2)],
         F.col("f1.sm").alias("region1"),
         F.col("f2.sm").alias("region2"),
-        F.floor(F.col("_dt") / 10000000).alias("dt"),
+        dt.alias("dt"),
     )
     return lookups.with_pair(flat, pair_map)
 
@@ -122,7 +125,7 @@ def listmode_sql(version: str) -> str:
 
 @query("w03_listmode_v3", listmode_sql("V3"))
 def w03(spark, sf):
-    return sinks.listmode_table(listmode_pairs(spark, sf), "V3")
+    return sinks.listmode_table(listmode_pairs(spark, sf, with_dt=False), "V3")
 
 
 @query("w04_listmode_v4", listmode_sql("V4"))
@@ -160,8 +163,6 @@ def w06(spark, sf):
     ),
 )
 def w07(spark, sf):
-    from workload.fixtures import hits
-
     path = scratch_path(spark, "store")
     h = hits(spark, sf)
     for side, run in ((1, "run_f"), (2, "run_o")):
@@ -169,6 +170,29 @@ def w07(spark, sf):
     return spark.read.parquet(path).groupBy("run").agg(F.count("*").alias("n_hits"), F.sum("energy").alias("energy"))
 
 
+@query(
+    "w07_event_store_runs",
+    with_views(
+        "hits",
+        """, t AS (SELECT max(time) FILTER (WHERE side = 1 AND k = 1) - max(time) FILTER (WHERE side = 2 AND k = 1) AS dt
+                   FROM (SELECT *, row_number() OVER (PARTITION BY event_id, side ORDER BY hit_idx) AS k FROM hits)
+                   GROUP BY event_id)
+           SELECT dt, count(*) AS n_events FROM (SELECT dt FROM t UNION ALL SELECT -dt FROM t) GROUP BY dt""",
+    ),
+)
+def w07_runs(spark, sf):
+    """Nested events of two runs with equal file names and event numbers; the second has its sides swapped, and is stored twice."""
+    files, path = scratch_path(spark, "runs"), scratch_path(spark, "store")
+    h = hits(spark, sf)
+    sources.register(spark)
+    for run, rows in (("run_f", h), ("run_b", h.withColumn("side", 3 - F.col("side")))):
+        write_event_files(rows, f"{files}/{run}", "fixed")
+    for run in ("run_f", "run_b", "run_b"):
+        sinks.store_events(spark.read.format("fixed_events").load(f"{files}/{run}"), path, run)
+    stored = to_hits(spark.read.parquet(path)).withColumn("is_time", F.lit(True))
+    return timing.dt_first(stored).groupBy("dt").agg(F.count("*").alias("n_events"))
+
+
 def linear_model():
     """Two linear outputs of 16 signals; the category shifts the first."""
     weights = np.arange(1, 17) / 16.0
