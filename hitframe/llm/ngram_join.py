@@ -298,8 +298,9 @@ def near_duplicates(docs: DataFrame, small: int = SMALL) -> DataFrame:
     if labels is not None:
         named = named.join(labels, named["set_id"] == labels["node"], "left")
         comp = F.coalesce("comp", "set_id")
-    grouped = named.select("doc_id", "n_shingles", comp.alias("g"))
-    smallest = grouped.where(F.col("g").isNotNull()).groupBy("g").agg(F.min("doc_id").alias("smallest"))
+    # both sides are read from tables, so adaptive execution can split a group that holds many of the documents
+    grouped = written(named.select("doc_id", "n_shingles", comp.alias("g")), "groups")
+    smallest = written(grouped.where(F.col("g").isNotNull()).groupBy("g").agg(F.min("doc_id").alias("smallest")), "smallest")
     return grouped.join(smallest, "g", "left").select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
 
 
