@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitframe.llm.common import map_partition
+from hitframe.session import written
 
 #: A template token is on at least this share of a host's pages and on so many pages.
 SUPPORT, LEAST_PAGES = 0.5, 3
@@ -168,15 +169,17 @@ def vectors(rows: Iterator[tuple]) -> Iterator[tuple]:
 def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST_PAGES) -> DataFrame:
     """host, ``template``: its tokens with class number, in their order within the class.
 
-    A host's tokens that are on half of its pages are at most twice as many as an average page of it has.
+    A host's tokens that are on half of its pages are at most twice as many as an average page of it has. What is joined by
+    host is written first (it is small beside the pages): adaptive execution splits a host's rows only in joins of tables
+    that are not grouped by host themselves.
     """
     sums = map_partition(pages.select("page_id", "host", "html"), vectors, "host string, token long, x long, s long, pages long, place long")
     per_token = sums.groupBy("host", "token").agg(F.bit_xor("x").alias("x"), F.sum("s").alias("s"), F.sum("pages").alias("pages"), F.sum("place").alias("place"))
-    hosts = pages.groupBy("host").agg(F.count("*").alias("of"))
+    hosts = written(pages.groupBy("host").agg(F.count("*").alias("of")), "hosts")
     frequent = per_token.join(hosts, "host").where((F.col("pages") >= least) & (F.col("pages") >= support * F.col("of")))
-    classes = frequent.withColumn("class", F.xxhash64("x", "s", "pages"))
+    classes = written(frequent.withColumn("class", F.xxhash64("x", "s", "pages")), "classes")
     token = F.struct("class", (F.col("place") / F.col("pages")).alias("place"), "token")
-    return classes.groupBy("host").agg(F.sort_array(F.collect_list(token)).alias("template"))
+    return written(classes.groupBy("host").agg(F.sort_array(F.collect_list(token)).alias("template")), "templates")
 
 
 def valid_places(numbers: list[int], template: list[tuple[int, int]]) -> set[int]:
