@@ -3,7 +3,8 @@
 Tokens of a page are its tags and text nodes, each with the path of the elements around it. Tokens of a host with the same
 occurrence vector (how often on which page) form a class. Classes that most pages have, whose tokens come in one order and
 which lie inside one another, make up the host's template; what lies between its tokens are the slots. The text is that
-of the slots, without those inside menus, footers and the like, and without texts of the template outside the article.
+of the slots, inside the article too; the elements only tell which slots are the article's. Where they leave no slot (a page
+all of whose text other pages have), they decide alone.
 
 Occurrence vectors are never gathered: two sums over hashes of (page, count) stand for a vector, so a host that holds a
 third of all pages is added up before the shuffle like any other.
@@ -213,19 +214,16 @@ def main_text(source: str, template: list[tuple[int, int]]) -> str:
     page = parse(source)
     fixed = valid_places([number(t[0]) for t in page.tokens], template) if template else set()
     has_main = any(b.main and not _set_apart(page, i) for i, b in enumerate(page.boxes))
-    blocks: list[str] = [""]
-    use: dict[int, tuple[bool, bool]] = {}
-    for k, (_, box, text, ends) in enumerate(page.tokens):
+    use = {box: not _set_apart(page, box) and (not has_main or _inside_main(page, box)) for _, box, text, _ in page.tokens if text is not None}
+    read = [k for k, (_, box, text, _) in enumerate(page.tokens) if text is not None and use[box]]
+    if any(k not in fixed and page.tokens[k][2].strip() for k in read):
+        read = [k for k in read if k not in fixed or not page.tokens[k][2].strip()]
+    blocks, wanted = [""], set(read)
+    for k, (_, _, text, ends) in enumerate(page.tokens):
         if ends:
             blocks.append("")
-        if text is None:
-            continue
-        if box not in use:
-            use[box] = (_set_apart(page, box), _inside_main(page, box))
-        apart, in_main = use[box]
-        if apart or has_main and not in_main or k in fixed and not in_main and text.strip():
-            continue
-        blocks[-1] += text
+        if k in wanted:
+            blocks[-1] += text
     return " ".join(b for b in (" ".join(b.split()) for b in blocks) if b)
 
 
