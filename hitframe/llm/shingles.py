@@ -63,12 +63,12 @@ def shingle_set(text: str | None) -> np.ndarray:
         return np.unique(mixed(code))
 
 
-def most_apart(size: int, largest: int) -> int:
-    """Largest symmetric difference of a set of ``size`` and one of at most ``largest`` that are similar (Jaccard 0.8 or more).
+def most_apart(size: int) -> int:
+    """Largest symmetric difference of a set of ``size`` and one as large or larger that are similar (Jaccard 0.8 or more).
 
     With i in common, 100 i >= 80 (a + b - i) gives a + b - 2 i <= (a + b) / 9.
     """
-    return (size + min(largest, size * 5 // 4)) // 9
+    return (size + size * 5 // 4) // 9
 
 
 def band_of(size: int) -> int:
@@ -106,11 +106,14 @@ def band_blocks(codes: np.ndarray, band: int, need: int | None = None) -> np.nda
 
 def bands_of(n: int) -> list[tuple[int, int]]:
     """(band, number of keys that the pigeonhole asks for) of a set's own band, and of the next smaller one if a similar set
-    can be in it."""
+    can be in it.
+
+    Both sets of a pair take a key more than they can differ in: a larger set of the next band meets this one in its own band.
+    """
     if not n:
         return []
     band = band_of(n)
-    bands = [(band, most_apart(n, 2 ** (band + 1) - 1) + 1)]
+    bands = [(band, most_apart(n) + 1)]
     if band and 5 * (2**band - 1) >= 4 * n:  # a set of the band below has at most 2**band - 1
         bands.append((band - 1, (n + 2**band - 1) // 9 + 1))
     return bands

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from hitframe.llm import template_html
+from hitframe.llm.shingles import bands_of, block_count, similar, sketch_keys
 
 
 def texts(spark, pages: list[str]) -> list[str]:
@@ -19,3 +22,20 @@ def test_template_decides_inside_and_outside_the_article(spark):
     # pages that are all the same have no slots: the elements decide
     assert texts(spark, [inside.format(0)] * 4) == ["Title 0 Subscribe now story 0 Share this"] * 4
     assert texts(spark, [inside.format(0)] * 4 + [inside.format(1)]) == [f"Title {i} story {i}" for i in (0, 0, 0, 0, 1)]
+
+
+def test_similar_sets_share_a_key_across_band_edges():
+    needs = {n: dict(bands_of(n)) for n in range(1, 1300)}
+    assert all(need <= block_count(band) for own in needs.values() for band, need in own.items())
+    for n in range(1, 1030):
+        for m in range(n, 5 * n // 4 + 1):
+            common = -(-80 * (n + m) // 180)
+            if common <= n:
+                bands = needs[n].keys() & needs[m].keys()
+                assert any(min(needs[n][b], needs[m][b]) > n + m - 2 * common for b in bands), (n, m)
+    rng = np.random.default_rng(5)
+    for n, m, times in ((7, 8, 300), (15, 18, 300), (30, 37, 15_000), (31, 38, 15_000), (63, 78, 300), (127, 158, 300), (511, 638, 100)):
+        for _ in range(times):
+            codes = rng.integers(0, 2**64, m, np.uint64)
+            one, other = np.sort(codes[:n]), np.sort(codes)
+            assert similar(one, other) and len(np.intersect1d(sketch_keys(one), sketch_keys(other))), (n, m)
