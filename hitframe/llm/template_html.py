@@ -37,13 +37,15 @@ BOXES = frozenset(
     "html body head nav header footer aside form article main section div ul ol dl table thead tbody tfoot figure details dialog fieldset menu blockquote".split()
 )
 BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption pre br hr figcaption address summary legend hgroup center".split())
-#: Elements, roles, and words of class or id that mark what isn't the article (fixed values).
+#: Elements, roles, and whole names of class or id that mark what isn't the article (fixed values). Other than by the elements of
+#: ``SURE``, a box with most of the page's slot text is never set apart.
+SURE = frozenset("head nav footer aside menu header".split())
 APART = frozenset("head nav footer aside form menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 WORDS = frozenset(
     "nav navbar navigation menu sidebar footer ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies "
     "consent gdpr notice notices alert popup modal overlay share sharing social related recommended comment comments disqus reply replies "
-    "newsletter subscribe subscription breadcrumb breadcrumbs pagination pager widget masthead toolbar login signup search topbar skip".split()
+    "newsletter subscribe subscription breadcrumb breadcrumbs pagination pager widget masthead toolbar login signup search topbar skip header site-header page-header".split()
 )
 MAIN = frozenset("article main".split())
 
@@ -54,7 +56,6 @@ PIECE = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @dataclass
@@ -83,14 +84,11 @@ def marks(attributes: str) -> dict[str, str]:
 
 def is_apart(name: str, known: dict[str, str], in_main: bool) -> bool:
     """The element's name, role, class or id says that it isn't part of the article."""
+    if name in ("html", "body"):
+        return False
     if name in APART or known.get("role", "").lower() in ROLES or name == "header" and not in_main:
         return True
-    for value in (known.get("class", ""), known.get("id", "")):
-        for one in value.split():
-            words = [w.lower() for w in LETTERS.findall(one)]
-            if WORDS.intersection(words) or words in (["header"], ["site", "header"], ["page", "header"]):
-                return True
-    return False
+    return any(one.lower() in WORDS for value in (known.get("class", ""), known.get("id", "")) for one in value.split())
 
 
 def parse(source: str) -> Page:
@@ -213,6 +211,14 @@ def main_text(source: str, template: list[tuple[int, int]]) -> str:
     """Text of the slots of a page, outside what is set apart from the article; blocks joined by one space."""
     page = parse(source)
     fixed = valid_places([number(t[0]) for t in page.tokens], template) if template else set()
+    held = [0] * len(page.boxes)  # characters of slot text
+    for k, (_, box, text, _) in enumerate(page.tokens):
+        if text is not None and k not in fixed:
+            held[box] += len(text.strip())
+    for i in range(len(held) - 1, 0, -1):  # a box comes after those around it
+        held[page.boxes[i].parent] += held[i]
+    for b, n in zip(page.boxes, held):
+        b.apart = b.apart and (b.name in SURE or 2 * n <= held[0])
     has_main = any(b.main and not _set_apart(page, i) for i, b in enumerate(page.boxes))
     use = {box: not _set_apart(page, box) and (not has_main or _inside_main(page, box)) for _, box, text, _ in page.tokens if text is not None}
     read = [k for k, (_, box, text, _) in enumerate(page.tokens) if text is not None and use[box]]

@@ -39,3 +39,11 @@ def test_similar_sets_share_a_key_across_band_edges():
             codes = rng.integers(0, 2**64, m, np.uint64)
             one, other = np.sort(codes[:n]), np.sort(codes)
             assert similar(one, other) and len(np.intersect1d(sketch_keys(one), sketch_keys(other))), (n, m)
+
+
+def test_class_parts_set_no_wrapper_apart():
+    page = "<html><body class='{}'><div class='{}'><nav>menu</nav><p>The story of this page</p><div class='sidebar'>side</div></div></body></html>"
+    for name in ("has-sidebar", "no-sidebar", "menu-open", "cookies-accepted", "search-results", "search", "plain"):
+        assert template_html.main_text(page.format(name, name), []) == "The story of this page"
+    inner = "<body><article><p>Story</p><section class='related-work'>Work</section><section id='social-policy'>Policy</section></article></body>"
+    assert template_html.main_text(inner, []) == "Story Work Policy"
