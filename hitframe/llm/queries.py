@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitframe.llm import bitplanes, bpe, language_mixture, ngram_join, packing, secret_scan, stream_dedup, template_html, toxicity, vafile
+from hitframe.llm import (
+    bitplanes,
+    bpe,
+    language_mixture,
+    ngram_join,
+    packing,
+    resampling,
+    secret_scan,
+    stream_dedup,
+    template_html,
+    toxicity,
+    vafile,
+    window_packing,
+)
 from hitframe.llm.common import held_out
 from hitframe.session import scratch_path
 
@@ -18,6 +31,7 @@ ORACLES: dict[str, str] = {}
 #: The vocabulary of ``byte_bpe_50k.json`` as ranks.
 RANKS = "byte_bpe_50k.tiktoken"
 END_OF_DOCUMENT, SEPARATOR, CAPACITY = 0, 2, 1024
+WINDOW_END, WINDOW = 1, 2048
 
 
 def query(fn):
@@ -94,6 +108,18 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+@query
+def op11_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = window_packing.pack_documents(table(spark, sf_dir, "documents"), *ranks(RANKS), WINDOW_END, WINDOW)
+    return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 ORACLES["op5_vector_approximation"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
@@ -108,6 +134,54 @@ WITH v AS (
 SELECT * FROM ranked WHERE rank <= 10
 """
 
+ORACLES["op12_importance_resampling"] = r"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+    FROM range(256) AS r(i))
+), texts AS (
+  SELECT 'D' AS part, doc_id, row_number() OVER () AS row, text FROM documents
+  UNION ALL SELECT 'B', item_id, row_number() OVER (), text FROM benchmark
+), words AS (
+  SELECT part, doc_id, row,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts
+), occurrences AS (
+  SELECT part, row, unnest(w) AS g FROM words
+  UNION ALL
+  SELECT part, row, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+), distinct_bytes AS (
+  SELECT g, list_transform(range(0, octet_length(encode(g))), lambda i: CAST('0x' || substr(hex(encode(g)), 2 * i + 1, 2) AS BIGINT)) AS b
+  FROM (SELECT DISTINCT g FROM occurrences)
+), bucketed AS (
+  SELECT g, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[xor(c & 255, x) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket
+  FROM distinct_bytes, crc_table
+), placed AS (
+  SELECT part, row, bucket FROM occurrences JOIN bucketed USING (g)
+), totals AS (
+  SELECT count(*) FILTER (part = 'D') AS total_s, count(*) FILTER (part = 'B') AS total_t FROM placed
+), gains AS (
+  SELECT bucket,
+         CAST(floor(1000 * ln((count(*) FILTER (part = 'B') + 1.0::DOUBLE) * (total_s + 10000.0::DOUBLE)
+                              / ((count(*) FILTER (part = 'D') + 1.0::DOUBLE) * (total_t + 10000.0::DOUBLE)))) AS BIGINT) AS gain
+  FROM placed, totals GROUP BY bucket, total_s, total_t
+), summed AS (
+  SELECT row, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS total FROM placed JOIN gains USING (bucket) WHERE part = 'D' GROUP BY row
+), weighted AS (
+  SELECT d.doc_id, len(d.w) >= 20 AS eligible, coalesce(n_features, 0) AS n_features,
+         CASE WHEN n_features IS NULL THEN 0 ELSE (total - ((total % n_features) + n_features) % n_features) // n_features END AS weight,
+         CAST('0x' || substr(sha256('7:' || d.doc_id), 1, 8) AS BIGINT) AS h
+  FROM words AS d LEFT JOIN summed USING (row) WHERE d.part = 'D'
+), scored AS (
+  SELECT *, CAST(weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM weighted
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id) AS place, count(*) FILTER (eligible) OVER () AS eligible_rows FROM scored
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, score,
+       CASE WHEN eligible AND place <= 25 * eligible_rows // 100 THEN place END AS rank
+FROM ranked
+"""
+
 ORACLES["op6_stream_dedup"] = r"""
 WITH d AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
