@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hitframe.llm import (
     bitplanes,
     bpe,
+    collocations,
     language_mixture,
     ngram_join,
     packing,
@@ -120,6 +121,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.best(collocations.collocations(table(spark, sf_dir, "documents")))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 ORACLES["op5_vector_approximation"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
@@ -190,3 +197,45 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d
 """
+
+ORACLES["op13_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), places AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), runs AS (
+  SELECT lang, d, array_to_string(w[i:i + d - 1], ' ') AS phrase FROM places, range(1, 6) AS r(d) WHERE i + d - 1 <= len(w)
+), counted AS (
+  SELECT lang, d, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM runs GROUP BY lang, d, phrase
+), totals AS (
+  SELECT lang, sum(f) AS n FROM counted WHERE d = 1 GROUP BY lang
+), common AS MATERIALIZED (
+  SELECT * FROM counted WHERE f >= 100
+), candidates AS MATERIALIZED (
+  SELECT * FROM common WHERE d >= 2
+), inner_ones AS (
+  SELECT DISTINCT lang, f, array_to_string(w[s:s + k - 1], ' ') AS phrase FROM candidates, range(2, 5) AS a(k), range(1, 6) AS b(s)
+  WHERE k < d AND s + k - 1 <= d
+), parts AS MATERIALIZED (
+  SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS first_part, array_to_string(w[k + 1:], ' ') AS rest
+  FROM candidates, range(1, 5) AS p(k) WHERE k < d
+), cuts AS (
+  SELECT parts.lang, parts.phrase, a, k, l.f AS l, r.f AS r, (1000 * CAST(a AS HUGEINT) * n) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM parts
+  JOIN common AS l ON l.lang = parts.lang AND l.phrase = first_part
+  JOIN common AS r ON r.lang = parts.lang AND r.phrase = rest
+  JOIN totals ON totals.lang = parts.lang
+), best AS (
+  SELECT * FROM cuts WHERE NOT EXISTS (SELECT 1 FROM inner_ones AS i WHERE i.lang = cuts.lang AND i.phrase = cuts.phrase AND i.f = cuts.a)
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r,
+         CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+  FROM best JOIN totals USING (lang)
+)
+SELECT * FROM ranked WHERE rank <= 2000
+"""

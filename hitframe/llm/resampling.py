@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitframe.llm.common import arrow_schema
-from hitframe.llm.spans import PAD, InternTable, lowered, runs
+from hitframe.llm.spans import PAD, InternTable, lowered, runs, text_bytes
 from hitframe.session import written
 
 BUCKETS, SHARE, LEAST_WORDS, SEED = 10_000, 25, 20, 7
@@ -32,15 +32,6 @@ WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-def text_bytes(column: pa.Array) -> list[np.ndarray]:
-    """The UTF-8 bytes of every text of an Arrow column, without copies; a null is empty."""
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    gone = column.is_null().to_numpy(zero_copy_only=False)
-    return [data[:0] if g else data[a:b] for a, b, g in zip(offsets[:-1].tolist(), offsets[1:].tolist(), gone.tolist())]
-
-
 def slices(texts: list[np.ndarray], size: int = SLICE) -> Iterator[tuple[list[int], list[np.ndarray], bool]]:
     """Rows and bytes of about ``size`` bytes of texts. A longer text comes in slices of its own, which are cut between words and begin
     with the last word of the slice before (``again``), so that no pair of words is lost."""
@@ -184,9 +175,9 @@ def drawn(scored: DataFrame, eligible: Column, share: int, id_column: str = "doc
     rows = scored.withColumn("__in", eligible)
     levels = rows.where("__in").groupBy("score").agg(F.count("*").alias("__n"))
     down = Window.orderBy(F.desc("score"))
-    above = levels.withColumn("__above", F.sum("__n").over(down) - F.col("__n"))
-    limit = levels.agg(F.floor(F.lit(share) * F.coalesce(F.sum("__n"), F.lit(0)) / 100).alias("__limit"))
-    reached = above.crossJoin(F.broadcast(limit)).where("__above < __limit").select("score", "__above", "__limit", F.lit(True).alias("__in"))
+    total = F.sum("__n").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    above = levels.select("score", (F.sum("__n").over(down) - F.col("__n")).alias("__above"), F.floor(share * total / 100).alias("__limit"))
+    reached = above.where("__above < __limit").withColumn("__in", F.lit(True))
     order = Window.partitionBy("score").orderBy(F.col(id_column).asc_nulls_first())
     some = rows.where("__in").join(reached.drop("__in"), "score").withColumn("__rank", F.col("__above") + F.row_number().over(order))
     ranked = some.withColumn("rank", F.when(F.col("__rank") <= F.col("__limit"), F.col("__rank"))).select(*scored.columns, "rank")

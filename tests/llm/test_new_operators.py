@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from hitframe.llm import queries, resampling, window_packing
+from hitframe.llm import collocations, queries, resampling, window_packing
 from hitframe.llm.queries import RANKS, ranks
 from hitframe.llm.spans import PAD, InternTable, xxhash64
 from tests.conftest import SF
@@ -198,3 +198,78 @@ def test_slices_lose_no_feature(size, block):
             for a, n, t in zip(starts.tolist(), lengths.tolist(), text.tolist()):
                 found[rows[t]][data[a : a + n].decode()] += 1
     assert found == [Counter(features(t)[1]) for t in texts]
+
+
+# ---- collocations
+
+
+def phrases_of(rows: list[tuple], least: int, depth: int = 5) -> dict:
+    """(lang, phrase): (a, l, r, n, score) by counting everything."""
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            for d in range(1, depth + 1):
+                f.update((lang, tuple(words[i : i + d])) for i in range(len(words) - d + 1))
+    common = {p for p, a in f.items() if a >= least and len(p[1]) > 1}
+    inside = {(lang, w[i : i + k], f[lang, w]) for lang, w in common for k in range(2, len(w)) for i in range(len(w) - k + 1)}
+    out = {}
+    for lang, w in common:
+        a = f[lang, w]
+        if (lang, w, a) not in inside:
+            cuts = [(1000 * a * n[lang] // (f[lang, w[:k]] * f[lang, w[k:]]), k) for k in range(1, len(w))]
+            score, k = min(cuts)
+            out[lang, " ".join(w)] = (a, f[lang, w[:k]], f[lang, w[k:]], n[lang], score)
+    return out
+
+
+def found_phrases(df) -> dict:
+    return {(r["lang"], r["phrase"]): (r["a"], r["l"], r["r"], r["n"], r["score"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("size,least", [(1 << 20, 100), (4000, 30)])
+def test_op13(spark, size, least):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(3)
+    got = found_phrases(collocations.collocations(docs, least, size=size))
+    wanted = phrases_of([(lang, t) for _, t, lang in documents()], least)
+    assert got == wanted and len(wanted) > 20
+
+
+def test_collocations_of_odd_rows(spark, nasty, nothing):  # noqa: F811
+    rows = [("en", "Big Red dog, big red dog. big\tred cat"), (None, "a b a b a b a b"), ("und", "a b"), ("é", "Éa ça; Éa ça\nÉa ça"), ("en", ""), ("en", None)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "lang string, text string, phrase int")
+    for size in (1, 1 << 20):
+        assert found_phrases(collocations.collocations(docs, 2, size=size)) == phrases_of(rows, 2)
+    assert found_phrases(collocations.collocations(nasty, 2)) == phrases_of([(r[2], r[1]) for r in ROWS], 2)
+    assert collocations.best(collocations.collocations(nothing)).count() == 0
+
+
+def test_scores_are_exact_and_ranked(spark):
+    big = 10**13
+    f = [("en", "a", 3 * big), ("en", "b", 7 * big), ("en", "a b", 2 * big), ("en", "b a", 2 * big), ("en", "b b", big)]
+    totals = spark.createDataFrame([("en", 10**16 + 1)], "lang string, n long")
+    got = collocations.best(collocations.scored(spark.createDataFrame(f, "lang string, phrase string, f long"), totals), 2)
+    score = 1000 * 2 * big * (10**16 + 1) // (21 * big * big)
+    assert [(r["rank"], r["phrase"], r["score"]) for r in got.orderBy("rank").collect()] == [(1, "a b", score), (2, "b a", score)]
+
+
+def test_index_counts_every_phrase():
+    text = b"to be or not to be, to be. not to be or not to be"
+    n, words, bwt = collocations.index_of([np.frombuffer(text, np.uint8)])
+    assert n == 15 and sorted(words) == [b"be", b"not", b"or", b"to"]
+    intervals, names = collocations.Intervals(bwt.tobytes()), [b"", *words]
+    for depth in range(1, 6):
+        firsts, counts = intervals.counted()
+        got = {" ".join(names[i].decode() for i in ids): c for *ids, c in zip(*intervals.phrase(firsts, depth), counts.tolist())}
+        pieces = [p.split() for p in re.split("[,.]", text.decode())]
+        assert got == Counter(" ".join(p[i : i + depth]) for p in pieces for i in range(len(p) - depth + 1))
+        intervals.deeper()
+
+
+def test_long_texts_are_cut_at_stops_only():
+    raw = np.frombuffer(b"one two. three four five six seven eight nine. ten\neleven", np.uint8)
+    parts = [bytes(p) for p in collocations.chunks(raw, 12)]
+    assert b"".join(parts) == bytes(raw) and parts[1] == b" three four five six seven eight nine."
+    assert [bytes(p) for p in collocations.chunks(raw[:4], 1)] == [b"one "]
