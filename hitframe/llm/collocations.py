@@ -5,8 +5,8 @@ Texts of a language are cut into shards. A shard's index is the Burrows-Wheeler
 extended to the left by a word through the transform, to the right by splitting it, and its length is the phrase's count in the shard;
 both sides' intervals are at hand at every depth, so a phrase is entered only where its first and its last words are alive.
 
-Counts of words and pairs are summed over the shards by a 64-bit hash, which may only keep too much; shards then enumerate longer phrases
-of frequent pairs, and counts of the phrases themselves are summed. Scores come from joins of frequent phrases with their parts.
+Counts of words and pairs are first summed over the shards by hashes, many to a row, which can only keep too much; shards then enumerate the phrases
+that have nothing but frequent pairs, and the counts of the phrases themselves are summed. Scores come from joins of frequent phrases with their parts.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitframe.llm.common import arrow_schema
+from hitframe.llm.common import arrow_schema, map_partition
 from hitframe.llm.shingles import STEP, mixed
 from hitframe.llm.spans import PAD, InternTable, lowered, runs, text_bytes
 from hitframe.session import written
@@ -28,6 +28,8 @@ from hitframe.session import written
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Bytes of text from which a language's texts become a shard, bytes that a task holds for all languages, and parts into which a language's rows are dealt.
 SHARD_BYTES, HELD_BYTES, PARTS = 8 << 20, 32 << 20, 64
+#: Keys of words and pairs that one group of a sum over the shards has at most, on average.
+BUCKET_KEYS = 1 << 21
 UNKNOWN = "und"
 
 #: Bytes that end a piece, and bytes between words of a piece (fixed values).
@@ -184,62 +186,103 @@ def word_hashes(lang: str, words: bytes) -> np.ndarray:
     return np.array([0, *(xxhash.xxh64_intdigest(w, seed) for w in words.split(b" "))], np.uint64)
 
 
-def short_counts(indexes: DataFrame) -> DataFrame:
-    """shard, depth, first, n, key of all words and pairs of every shard."""
-    ddl = "shard long, depth int, first int, n int, key long"
+def short_phrases(lang: str, words: bytes, intervals: Intervals, buckets: int) -> tuple[np.ndarray, ...]:
+    """Words and pairs of a shard in the order of bucket and 32-bit key, both hashes: bucket, key, count, depth, first row.
+
+    ``intervals`` are those of words, and of pairs afterwards.
+    """
+    hashes, found = word_hashes(lang, words), []
+    for depth in (1, 2):
+        if depth == 2:
+            intervals.deeper()
+        firsts, counts = intervals.counted()
+        key = np.zeros(len(firsts), np.uint64)
+        with np.errstate(over="ignore"):
+            for ids in intervals.phrase(firsts, depth):
+                key = mixed(key * np.uint64(STEP) + hashes[ids])
+        found.append((key, counts, np.full(len(firsts), depth), firsts))
+    key, counts, depths, firsts = (np.concatenate(c) for c in zip(*found))
+    low = np.uint64(0xFFFFFFFF)
+    key = (((key >> np.uint64(32)) * np.uint64(buckets)) & ~low) | (key & low)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    return (key >> np.uint64(32)).astype(np.int64), (key & low).astype("<u4"), counts[order], depths[order], firsts[order]
+
+
+def short_counts(indexes: DataFrame, buckets: int) -> DataFrame:
+    """bucket, shard, keys, counts (32-bit numbers): words and pairs of every shard, a row for each bucket that has some."""
+    ddl = "bucket long, shard long, keys binary, counts binary"
+
+    def make(rows):
+        for shard, lang, words, bwt in rows:
+            if len(words):
+                bucket, keys, counts, *_ = short_phrases(lang, words, Intervals(bwt), buckets)
+                edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    yield int(bucket[a]), shard, keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()
+
+    return map_partition(indexes.select("shard", "lang", "words", "bwt"), make, ddl)
+
+
+def alive_in_shards(counts: DataFrame, least: int) -> DataFrame:
+    """shard, bucket, which: the places, among a shard's keys of a bucket, of those whose counts in all shards add up to ``least``."""
+    ddl = "shard long, bucket long, which binary"
     schema = arrow_schema(ddl)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, lang, words, bwt in zip(*(c for c in batch.columns)):
-                if not len(words.as_py()):
-                    continue
-                hashes, intervals = word_hashes(lang.as_py(), words.as_py()), Intervals(bwt.as_py())
-                for depth in (1, 2):
-                    firsts, counts = intervals.counted()
-                    with np.errstate(over="ignore"):
-                        key = np.zeros(len(firsts), np.uint64)
-                        for ids in intervals.phrase(firsts, depth):
-                            key = mixed(key * np.uint64(STEP) + hashes[ids])
-                    one = np.full(len(firsts), shard.as_py()), np.full(len(firsts), depth), firsts, counts, key.view(np.int64)
-                    table = pa.Table.from_arrays([pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(one, schema.types)], schema=schema)
-                    yield from table.to_batches(1 << 16)
-                    if depth == 1:
-                        intervals.deeper()
-
-    return indexes.select("shard", "lang", "words", "bwt").mapInArrow(run, ddl)
-
-
-def phrase_counts(indexes: DataFrame, alive: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """lang, phrase, n: of every shard the words and pairs that are ``alive`` (shard, depth, first), and all longer phrases of such pairs."""
+    def run(rows: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(k, "<u4") for k in rows["keys"].to_pylist()]
+        n = np.concatenate([np.frombuffer(c, "<u4") for c in rows["counts"].to_pylist()]).astype(np.int64)
+        keys = np.concatenate(parts)
+        order = np.argsort(keys, kind="stable")
+        fresh = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
+        total = np.add.reduceat(n[order], np.flatnonzero(fresh))
+        live = np.zeros(len(keys), bool)
+        live[order] = (total >= least)[np.cumsum(fresh) - 1]
+        edges = np.cumsum([0, *map(len, parts)])
+        which = [np.flatnonzero(live[a:b]).astype("<i4").tobytes() for a, b in zip(edges, edges[1:])]
+        return pa.Table.from_arrays([rows["shard"], rows["bucket"], pa.array(which, pa.binary())], schema=schema)
+
+    return counts.groupBy("bucket").applyInArrow(run, ddl).where(F.length("which") > 0)
+
+
+def phrase_counts(indexes: DataFrame, alive: DataFrame, buckets: int, depth: int = DEPTH) -> DataFrame:
+    """lang, phrase, n: of every shard the words and pairs that are ``alive`` (shard, bucket, which), and all longer phrases of such pairs."""
     ddl = "lang string, phrase string, n long"
     schema = arrow_schema(ddl)
 
     def run(index: pa.Table, found: pa.Table) -> pa.Table:
         out = []
         if index.num_rows and found.num_rows:
-            lang, names = index["lang"][0].as_py(), [b"", *index["words"][0].as_py().split(b" ")]
-            intervals = Intervals(index["bwt"][0].as_py())
-            depths, firsts = (found[c].to_numpy() for c in ("depth", "first"))
+            lang, words, bwt = (index[c][0].as_py() for c in ("lang", "words", "bwt"))
+            intervals = Intervals(bwt)
+            bucket, _, _, depths, firsts = short_phrases(lang, words, intervals, buckets)
+            live = [np.zeros(len(intervals.word), bool) for _ in range(3)]
+            for own, which in zip(found["bucket"].to_pylist(), found["which"].to_pylist()):
+                at = np.searchsorted(bucket, own) + np.frombuffer(which, "<i4")
+                for d in (1, 2):
+                    live[d][firsts[at[depths[at] == d]]] = True
+            intervals, names = Intervals(bwt), [b"", *words.split(b" ")]
             for d in range(1, depth + 1):
                 own, counts = intervals.counted()
-                live = np.zeros(len(intervals.word), bool)
-                live[firsts[depths == d] if d <= 2 else own] = True
-                keep = live[own]
+                keep = live[d][own] if d <= 2 else np.ones(len(own), bool)
                 places = [[names[i] for i in ids.tolist()] for ids in intervals.phrase(own[keep], d)]
                 phrases = pa.array([b" ".join(p) for p in zip(*places)], pa.binary()).cast(pa.string())
                 out.append(pa.Table.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases, pa.array(counts[keep], pa.int64())], schema=schema))
-                intervals.deeper(live)
+                intervals.deeper(live[d] if d <= 2 else None)
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return indexes.select("shard", "lang", "words", "bwt").groupBy("shard").cogroup(alive.groupBy("shard")).applyInArrow(run, ddl)
 
 
 def frequent(indexes: DataFrame, least: int = LEAST, depth: int = DEPTH) -> DataFrame:
-    """lang, phrase, f of all phrases of 1 to ``depth`` words that are found ``least`` times or more; ``indexes`` is a written table of ``shards``."""
-    total = F.sum("n").over(Window.partitionBy("key"))
-    alive = written(short_counts(indexes).withColumn("f", total).where(F.col("f") >= least).select("shard", "depth", "first"), "alive")
-    counts = phrase_counts(indexes, alive, depth).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    """lang, phrase, f of all phrases of 1 to ``depth`` words that are found ``least`` times or more; ``indexes`` is a written table of ``shards``.
+
+    The number of buckets grows with the words, so that a bucket has at most about ``BUCKET_KEYS`` keys.
+    """
+    words = indexes.agg(F.sum("n_words")).first()[0] or 0
+    buckets = 1 + 2 * words // BUCKET_KEYS
+    alive = written(alive_in_shards(short_counts(indexes, buckets), least), "alive")
+    counts = phrase_counts(indexes, alive, buckets, depth).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
     return written(counts.where(F.col("f") >= least), "phrases")
 
 
