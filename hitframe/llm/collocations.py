@@ -27,7 +27,7 @@ from hitframe.session import written
 
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Bytes of text from which a language's texts become a shard, bytes that a task holds for all languages, and parts into which a language's rows are dealt.
-SHARD_BYTES, HELD_BYTES, PARTS = 8 << 20, 32 << 20, 64
+SHARD_BYTES, HELD_BYTES, PARTS = 3 << 20, 12 << 20, 64
 #: Keys of words and pairs that one group of a sum over the shards has at most, on average.
 BUCKET_KEYS = 1 << 21
 UNKNOWN = "und"
