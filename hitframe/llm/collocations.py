@@ -5,8 +5,9 @@ Texts of a language are cut into shards. A shard's index is the Burrows-Wheeler
 extended to the left by a word through the transform, to the right by splitting it, and its length is the phrase's count in the shard;
 both sides' intervals are at hand at every depth, so a phrase is entered only where its first and its last words are alive.
 
-Counts of words and pairs are first summed over the shards by hashes, many to a row, which can only keep too much; shards then enumerate the phrases
-that have nothing but frequent pairs, and the counts of the phrases themselves are summed. Scores come from joins of frequent phrases with their parts.
+Counts of words and pairs are first summed over the shards by short hashes, which can only keep too much; shards then enumerate the phrases
+that have nothing but frequent pairs, and their counts are summed by long hashes. Counts travel packed, many phrases to a row; only frequent
+phrases are spelled, each by one of its shards. Scores come from joins of frequent phrases with their parts.
 """
 
 from __future__ import annotations
@@ -180,110 +181,163 @@ class Intervals:
         return out
 
 
-def word_hashes(lang: str, words: bytes) -> np.ndarray:
+def word_hashes(lang: str, words: list[bytes], seed: int) -> np.ndarray:
     """A hash of every word of a language; that of id 0 is not used."""
-    seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")) & 0xFFFFFFFF
-    return np.array([0, *(xxhash.xxh64_intdigest(w, seed) for w in words.split(b" "))], np.uint64)
+    seed = xxhash.xxh32_intdigest(lang.encode("utf-8", "surrogatepass"), seed)
+    return np.array([0, *(xxhash.xxh64_intdigest(w, seed) for w in words)], np.uint64)
 
 
-def short_phrases(lang: str, words: bytes, intervals: Intervals, buckets: int) -> tuple[np.ndarray, ...]:
-    """Words and pairs of a shard in the order of bucket and 32-bit key, both hashes: bucket, key, count, depth, first row.
+class Listing:
+    """Phrases of a shard in the order of their bucket and their keys, a 64-bit and a 32-bit hash.
 
-    ``intervals`` are those of words, and of pairs afterwards.
+    Without ``alive`` these are all words and pairs; with it (rows of bucket and places in that list) the words and pairs named, and all longer
+    phrases whose pairs are all named. The same arguments give the same list.
     """
-    hashes, found = word_hashes(lang, words), []
-    for depth in (1, 2):
-        if depth == 2:
-            intervals.deeper()
-        firsts, counts = intervals.counted()
-        key = np.zeros(len(firsts), np.uint64)
-        with np.errstate(over="ignore"):
-            for ids in intervals.phrase(firsts, depth):
-                key = mixed(key * np.uint64(STEP) + hashes[ids])
-        found.append((key, counts, np.full(len(firsts), depth), firsts))
-    key, counts, depths, firsts = (np.concatenate(c) for c in zip(*found))
-    low = np.uint64(0xFFFFFFFF)
-    key = (((key >> np.uint64(32)) * np.uint64(buckets)) & ~low) | (key & low)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    return (key >> np.uint64(32)).astype(np.int64), (key & low).astype("<u4"), counts[order], depths[order], firsts[order]
+
+    def __init__(self, index: tuple, buckets: int, alive: list[tuple] | None = None, depth: int = 2):
+        _, self.lang, words, bwt = index
+        self.words = words.split(b" ")
+        self.intervals, live = Intervals(bwt), {}
+        if alive is not None:
+            short = Listing(index, buckets)
+            for d in (1, 2):
+                live[d] = np.zeros(len(self.intervals.word), bool)
+            for bucket, which in alive:
+                at = short.places(bucket, which)
+                for d in (1, 2):
+                    live[d][short.first[at[short.depth[at] == d]]] = True
+        hashes, found = [word_hashes(self.lang, self.words, seed) for seed in (0, 1)], []
+        for d in range(1, depth + 1):
+            if d > 1:
+                self.intervals.deeper(live.get(d - 1))
+            firsts, counts = self.intervals.counted()
+            if d in live:
+                keep = live[d][firsts]
+                firsts, counts = firsts[keep], counts[keep]
+            keys = [np.zeros(len(firsts), np.uint64) for _ in hashes]
+            with np.errstate(over="ignore"):
+                for ids in self.intervals.phrase(firsts, d):
+                    keys = [mixed(key * np.uint64(STEP) + own[ids]) for key, own in zip(keys, hashes)]
+            found.append((*keys, counts, np.full(len(firsts), d), firsts))
+        key, check, *rest = (np.concatenate(c) for c in zip(*found))
+        check = (check >> np.uint64(32)).astype("<u4")
+        bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        order = np.lexsort((check, key, bucket)) if alive is not None else np.argsort((bucket << np.uint64(32)) | check, kind="stable")
+        self.bucket, self.key, self.check, self.count, self.depth, self.first = (c[order] for c in (bucket.astype(np.int64), key, check, *rest))
+
+    def places(self, bucket: int, which: bytes) -> np.ndarray:
+        return np.searchsorted(self.bucket, bucket) + np.frombuffer(which, "<i4")
+
+    def rows(self, shard: int, with_keys: bool) -> Iterator[tuple]:
+        edges = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1], [True]])) if len(self.bucket) else [0]
+        for a, b in zip(edges[:-1], edges[1:]):
+            keys = self.key[a:b].astype("<u8").tobytes() if with_keys else None
+            yield int(self.bucket[a]), shard, keys, self.check[a:b].tobytes(), self.count[a:b].astype("<u4").tobytes()
+
+    def phrases(self, at: np.ndarray) -> list[bytes]:
+        names, out = [b"", *self.words], []
+        for d, first in zip(self.depth[at].tolist(), self.first[at].tolist()):
+            out.append(b" ".join(names[int(ids[0])] for ids in self.intervals.phrase(np.array([first]), d)))
+        return out
+
+
+PACKED_DDL = "bucket long, shard long, keys binary, checks binary, counts binary"
+ALIVE_DDL = "shard long, bucket long, which binary, f binary"
 
 
 def short_counts(indexes: DataFrame, buckets: int) -> DataFrame:
-    """bucket, shard, keys, counts (32-bit numbers): words and pairs of every shard, a row for each bucket that has some."""
-    ddl = "bucket long, shard long, keys binary, counts binary"
+    """Words and pairs of every shard, with 32-bit keys: a row for each bucket that has some."""
 
     def make(rows):
-        for shard, lang, words, bwt in rows:
-            if len(words):
-                bucket, keys, counts, *_ = short_phrases(lang, words, Intervals(bwt), buckets)
-                edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                    yield int(bucket[a]), shard, keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()
+        for index in rows:
+            if index[2]:
+                yield from Listing(index, buckets).rows(index[0], False)
 
-    return map_partition(indexes.select("shard", "lang", "words", "bwt"), make, ddl)
+    return map_partition(indexes.select("shard", "lang", "words", "bwt"), make, PACKED_DDL)
 
 
-def alive_in_shards(counts: DataFrame, least: int) -> DataFrame:
-    """shard, bucket, which: the places, among a shard's keys of a bucket, of those whose counts in all shards add up to ``least``."""
-    ddl = "shard long, bucket long, which binary"
-    schema = arrow_schema(ddl)
+def summed(counts: DataFrame, least: int, one_of_each: bool) -> DataFrame:
+    """shard, bucket, which: the places, in a shard's list of a bucket, of the keys whose counts in all shards add up to ``least`` (f: the sums).
+
+    With ``one_of_each`` every key is named in one of its shards only.
+    """
+    schema = arrow_schema(ALIVE_DDL)
 
     def run(rows: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(k, "<u4") for k in rows["keys"].to_pylist()]
-        n = np.concatenate([np.frombuffer(c, "<u4") for c in rows["counts"].to_pylist()]).astype(np.int64)
-        keys = np.concatenate(parts)
-        order = np.argsort(keys, kind="stable")
-        fresh = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
-        total = np.add.reduceat(n[order], np.flatnonzero(fresh))
-        live = np.zeros(len(keys), bool)
-        live[order] = (total >= least)[np.cumsum(fresh) - 1]
+        parts = [np.frombuffer(c, "<u4") for c in rows["checks"].to_pylist()]
         edges = np.cumsum([0, *map(len, parts)])
-        which = [np.flatnonzero(live[a:b]).astype("<i4").tobytes() for a, b in zip(edges, edges[1:])]
-        return pa.Table.from_arrays([rows["shard"], rows["bucket"], pa.array(which, pa.binary())], schema=schema)
+        n = np.concatenate([np.frombuffer(c, "<u4") for c in rows["counts"].to_pylist()]).astype(np.int64)
+        columns = [np.concatenate(parts)]
+        if rows["keys"].null_count == 0:
+            columns.append(np.concatenate([np.frombuffer(k, "<u8") for k in rows["keys"].to_pylist()]))
+        order = np.lexsort(columns) if len(columns) > 1 else np.argsort(columns[0], kind="stable")
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+        start, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        total = np.add.reduceat(n[order], start)
+        live = (total >= least)[group]
+        if one_of_each:
+            size = np.diff(np.concatenate([start, [len(order)]]))
+            chosen = start + columns[0][order[start]] % size  # a member by the key, so that no shard gets most of them
+            live &= np.isin(np.arange(len(order)), chosen)
+        sums = np.zeros(len(order), np.int64)
+        sums[order] = np.where(live, total[group], 0)
+        which = [np.flatnonzero(sums[a:b]).astype("<i4") for a, b in zip(edges, edges[1:])]
+        f = [sums[a:b][w].astype("<i8").tobytes() for a, b, w in zip(edges, edges[1:], which)]
+        which = [w.tobytes() for w in which]
+        return pa.Table.from_arrays([rows["shard"], rows["bucket"], pa.array(which, pa.binary()), pa.array(f, pa.binary())], schema=schema)
+
+    return counts.groupBy("bucket").applyInArrow(run, ALIVE_DDL).where(F.length("which") > 0)
+
+
+def in_shards(indexes: DataFrame, named: DataFrame, make, ddl: str) -> DataFrame:
+    """Rows of ``make(index, rows of named)`` for every shard that ``named`` has rows of."""
+    schema = arrow_schema(ddl)
 
-    return counts.groupBy("bucket").applyInArrow(run, ddl).where(F.length("which") > 0)
+    def run(index: pa.Table, rows: pa.Table) -> pa.Table:
+        if not index.num_rows or not rows.num_rows:
+            return schema.empty_table()
+        found = list(make(tuple(index[c][0].as_py() for c in ("shard", "lang", "words", "bwt")), rows.to_pylist()))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), schema.types)], schema=schema) if found else schema.empty_table()
 
+    return indexes.select("shard", "lang", "words", "bwt").groupBy("shard").cogroup(named.groupBy("shard")).applyInArrow(run, ddl)
 
-def phrase_counts(indexes: DataFrame, alive: DataFrame, buckets: int, depth: int = DEPTH) -> DataFrame:
-    """lang, phrase, n: of every shard the words and pairs that are ``alive`` (shard, bucket, which), and all longer phrases of such pairs."""
-    ddl = "lang string, phrase string, n long"
-    schema = arrow_schema(ddl)
 
-    def run(index: pa.Table, found: pa.Table) -> pa.Table:
-        out = []
-        if index.num_rows and found.num_rows:
-            lang, words, bwt = (index[c][0].as_py() for c in ("lang", "words", "bwt"))
-            intervals = Intervals(bwt)
-            bucket, _, _, depths, firsts = short_phrases(lang, words, intervals, buckets)
-            live = [np.zeros(len(intervals.word), bool) for _ in range(3)]
-            for own, which in zip(found["bucket"].to_pylist(), found["which"].to_pylist()):
-                at = np.searchsorted(bucket, own) + np.frombuffer(which, "<i4")
-                for d in (1, 2):
-                    live[d][firsts[at[depths[at] == d]]] = True
-            intervals, names = Intervals(bwt), [b"", *words.split(b" ")]
-            for d in range(1, depth + 1):
-                own, counts = intervals.counted()
-                keep = live[d][own] if d <= 2 else np.ones(len(own), bool)
-                places = [[names[i] for i in ids.tolist()] for ids in intervals.phrase(own[keep], d)]
-                phrases = pa.array([b" ".join(p) for p in zip(*places)], pa.binary()).cast(pa.string())
-                out.append(pa.Table.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases, pa.array(counts[keep], pa.int64())], schema=schema))
-                intervals.deeper(live[d] if d <= 2 else None)
-        return pa.concat_tables(out) if out else schema.empty_table()
+def long_counts(indexes: DataFrame, alive: DataFrame, buckets: int, depth: int) -> DataFrame:
+    """The words and pairs that are ``alive`` in every shard, and all longer phrases of such pairs, with 96-bit keys."""
+
+    def make(index, rows):
+        return Listing(index, buckets, [(r["bucket"], r["which"]) for r in rows], depth).rows(index[0], True)
+
+    return in_shards(indexes, alive, make, PACKED_DDL)
+
+
+def spelled(indexes: DataFrame, alive: DataFrame, found: DataFrame, buckets: int, depth: int) -> DataFrame:
+    """lang, phrase, f of the keys that ``found`` names, by the shards that hold them."""
+
+    def make(index, rows):
+        listing = Listing(index, buckets, [(r["bucket"], r["which"]) for r in rows if r["f"] is None], depth)
+        for r in rows:
+            if r["f"] is not None:
+                phrases = listing.phrases(listing.places(r["bucket"], r["which"]))
+                for phrase, f in zip(phrases, np.frombuffer(r["f"], "<i8").tolist()):
+                    yield listing.lang, phrase.decode("utf-8"), f
 
-    return indexes.select("shard", "lang", "words", "bwt").groupBy("shard").cogroup(alive.groupBy("shard")).applyInArrow(run, ddl)
+    both = alive.withColumn("f", F.lit(None).cast("binary")).unionByName(found)
+    return in_shards(indexes, both, make, "lang string, phrase string, f long")
 
 
 def frequent(indexes: DataFrame, least: int = LEAST, depth: int = DEPTH) -> DataFrame:
     """lang, phrase, f of all phrases of 1 to ``depth`` words that are found ``least`` times or more; ``indexes`` is a written table of ``shards``.
 
-    The number of buckets grows with the words, so that a bucket has at most about ``BUCKET_KEYS`` keys.
+    The number of buckets grows with the words, so that a bucket has at most about ``BUCKET_KEYS`` keys of words and pairs. Phrases are told apart by 96-bit
+    hashes of their words.
     """
     words = indexes.agg(F.sum("n_words")).first()[0] or 0
     buckets = 1 + 2 * words // BUCKET_KEYS
-    alive = written(alive_in_shards(short_counts(indexes, buckets), least), "alive")
-    counts = phrase_counts(indexes, alive, buckets, depth).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-    return written(counts.where(F.col("f") >= least), "phrases")
+    alive = written(summed(short_counts(indexes, buckets), least, False), "alive")
+    found = written(summed(long_counts(indexes, alive, buckets, depth), least, True), "found")
+    return written(spelled(indexes, alive, found, buckets, depth), "phrases")
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
