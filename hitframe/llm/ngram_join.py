@@ -8,11 +8,13 @@ pass a Hamming filter on whole sketches and are then compared by their texts.
 No group of rows that share a block is expanded into pairs when it is large. Its members are compared with one of them
 only. If that leaves the group in more than one component (a passage that many texts have), its members are joined again, by
 single shingles, the rarest first, so that what many texts have comes last. Groups that are open even then (near copies of
-one text, many of them too far from it for a link) are compared by sketches in blocks, and only pairs with near sketches leave the task.
+one text, many of them too far from it for a link) are compared in blocks, by sketches and then by their sets, and a task gives only the
+links that join components.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +31,12 @@ from hitframe.session import written
 #: Bits of the sketch of the Hamming filter; members up to which a group of a block, or of a rare shingle, is expanded into all its
 #: pairs; keys that are broadcast.
 BITS, SMALL, SMALL_RARE, BROADCAST_KEYS = 1024, 8, 32, 1_000_000
-#: Members of a block of an open group.
-BLOCK = 512
-BLOCK_DDL = "key long, lane long, ids binary, comps binary, sizes binary, sketches binary"
+#: Members and hashes of a block of an open group, and the factor within which its sizes lie: sets of similar size are in the same
+#: band or in the next one, as similar sets' sizes differ by a factor of 1.25 at most.
+BLOCK, BLOCK_CODES, RATIO = 512, 1 << 17, 1.26
+PLACE = ("key", "band", "lane", "lanes", "lanes_after")
+MEMBERS = ("ids", "comps", "sizes", "codes")
+BLOCK_DDL = "key long, band long, lane long, lanes long, lanes_after long, only long, ids binary, comps binary, sizes binary, codes binary"
 PAIR_DDL = "a long, b long, key long, hot boolean"
 
 
@@ -208,56 +213,119 @@ class Links:
         both = members.select("key", F.col("a").alias("set_id")).unionByName(members.select("key", F.col("b").alias("set_id")))
         return written(both.distinct(), "open")
 
-    def near_in_groups(self, members: DataFrame) -> DataFrame:
-        """Pairs (a, b) of a group's members in different components whose sketches are near.
+    def join_within(self, members: DataFrame, texts: DataFrame) -> None:
+        """Add links that join the members of every group (key, set_id), as far as similar sets do.
 
-        Members are packed into blocks, and blocks of a group meet in a grid; sketches are compared inside a task, and only
-        pairs that pass the Hamming filter come out.
+        Members of a group lie in blocks by size and hash. Sets are compared inside a block first; then, with the components of that, blocks
+        meet whose sizes allow links. A task gives a spanning forest of the components that it joins, so groups make no list of pairs.
         """
-        rows = members.join(self.sets.select("set_id", "n", "sketch"), "set_id")
+        members = different_groups(members)
+        for meet in (each_alone, in_a_grid):
+            self.add(map_partition(meet(self.blocks(members, texts)), compare_blocks, "a long, b long"))
+            members = self.still_open(members)
+            if members.isEmpty():
+                return
+
+    def named(self, members: DataFrame) -> DataFrame:
+        """Members with the component that each is in."""
         if self.labels is None:
-            rows = rows.withColumn("comp", F.col("set_id"))
-        else:
-            rows = rows.join(self.labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-        lanes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("lanes"))
-        spread = rows.join(lanes, "key").withColumn("lane", F.pmod(F.xxhash64("set_id"), F.col("lanes"))).select("key", "lane", "set_id", "comp", "n", "sketch")
-        packed = written(map_partition(spread.repartition("key", "lane").sortWithinPartitions("key", "lane"), pack_blocks, BLOCK_DDL), "blocks")
-        packed = packed.withColumn("block", F.xxhash64("lane", "ids"))
-        of = lambda side: packed.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "ids", "comps", "sizes", "sketches")))
-        met = of("a").join(of("b"), "key").where("block_a <= block_b")
-        columns = [f"{c}_{side}" for side in "ab" for c in ("ids", "comps", "sizes", "sketches")]
-        return map_partition(met.select(columns), compare_blocks, "a long, b long").distinct()
+            return members.withColumn("comp", F.col("set_id"))
+        labels = self.labels.withColumnRenamed("node", "set_id")
+        return members.join(labels, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+
+    def still_open(self, members: DataFrame) -> DataFrame:
+        comps = self.named(members).groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        return written(members.join(comps.where("low != high").select("key"), "key", "left_semi"), "open")
+
+    def blocks(self, members: DataFrame, texts: DataFrame) -> DataFrame:
+        """key, band, lane, block: members of a group whose sizes are within a factor of ``RATIO``, in lanes of about ``BLOCK`` members or ``BLOCK_CODES`` hashes."""
+        rows = self.named(members).join(codes_of(texts), "set_id")
+        rows = rows.withColumn("band", F.floor(F.log(F.col("n")) / math.log(RATIO)))
+        lanes = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_CODES)).alias("lanes")
+        sizes = self.sets.select("set_id", "n").join(members, "set_id").withColumn("band", F.floor(F.log(F.col("n")) / math.log(RATIO)))
+        sizes = written(sizes.groupBy("key", "band").agg(lanes), "lanes")
+        after = sizes.select("key", (F.col("band") - 1).alias("band"), F.col("lanes").alias("lanes_after"))
+        placed = rows.join(sizes, ["key", "band"]).join(after, ["key", "band"], "left")
+        placed = placed.withColumn("lane", F.pmod(F.xxhash64("set_id"), F.col("lanes"))).select(*PLACE, "set_id", "comp", "codes")
+        return written(map_partition(placed.repartition("key", "band", "lane").sortWithinPartitions(*PLACE), pack_blocks, BLOCK_DDL), "blocks")
+
+
+def different_groups(members: DataFrame) -> DataFrame:
+    """Of groups with the same members one."""
+    hashes = (F.bit_xor(F.xxhash64("set_id", F.lit(seed))).alias(f"h{seed}") for seed in (1, 2))
+    marks = members.groupBy("key").agg(F.count("*").alias("n"), *hashes)
+    return written(members.join(marks.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "groups")
+
+
+def codes_of(texts: DataFrame) -> DataFrame:
+    """set_id, n, codes of the texts' sets."""
+
+    def make(rows):
+        for (text,) in rows:
+            codes = shingle_set(text)
+            yield fingerprint(codes), len(codes), codes.tobytes()
+
+    return map_partition(texts.select("text"), make, "set_id long, n long, codes binary").dropDuplicates(["set_id"])
+
+
+def each_alone(blocks: DataFrame) -> DataFrame:
+    return blocks.select(*MEMBERS, *(F.lit(None).cast("binary").alias(f"{c}_b") for c in MEMBERS))
+
+
+def in_a_grid(blocks: DataFrame) -> DataFrame:
+    """Pairs of blocks of a group and band, and of a band and the next; those that are of one and the same component are left out."""
+    same = F.when(F.col("lane") + 1 < F.col("lanes"), F.transform(F.sequence(F.col("lane") + 1, F.col("lanes") - 1), lambda k: F.struct(F.col("band").alias("band"), k.alias("lane"))))
+    above = F.when(F.col("lanes_after") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("lanes_after") - 1), lambda k: F.struct((F.col("band") + 1).alias("band"), k.alias("lane"))))
+    none = F.array().cast("array<struct<band: bigint, lane: bigint>>")
+    left = blocks.select("key", "only", *(F.col(c).alias(f"{c}_a") for c in MEMBERS), F.explode(F.concat(F.coalesce(same, none), F.coalesce(above, none))).alias("at"))
+    left = left.select("key", F.col("at.band").alias("band"), F.col("at.lane").alias("lane"), F.col("only").alias("only_a"), *(f"{c}_a" for c in MEMBERS))
+    met = left.join(blocks.select("key", "band", "lane", "only", *MEMBERS), ["key", "band", "lane"])
+    return met.where("only_a IS NULL OR only IS NULL OR only_a != only").select(*(f"{c}_a" for c in MEMBERS), *(F.col(c).alias(f"{c}_b") for c in MEMBERS))
 
 
 def pack_blocks(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Blocks of at most ``BLOCK`` members from (key, lane, set_id, comp, n, sketch), which come in the order of key and lane."""
+    """A block for every place from members in the order of places; ``only`` is the component if all members are of one."""
 
     def packed(place, held):
-        ids, comps, sizes, sketches = zip(*held)
-        return (*place, *(np.array(c, np.int64).tobytes() for c in (ids, comps, sizes, sketches)))
+        ids, comps, codes = zip(*held)
+        numbers = (np.array(c, np.int64).tobytes() for c in (ids, comps, [len(c) // 8 for c in codes]))
+        return (*place, comps[0] if len(set(comps)) == 1 else None, *numbers, b"".join(codes))
 
-    place, held = None, []
-    for key, lane, *member in rows:
-        if held and (place != (key, lane) or len(held) == BLOCK):
+    place, held, size = None, [], len(PLACE)
+    for row in rows:
+        if held and place != row[:size]:
             yield packed(place, held)
             held = []
-        place = (key, lane)
-        held.append(member)
+        place = row[:size]
+        held.append(row[size:])
     if held:
         yield packed(place, held)
 
 
+class Block:
+    """Members of a block: ids, components, and their sets with sizes and sketches."""
+
+    def __init__(self, ids: bytes, comps: bytes, sizes: bytes, codes: bytes):
+        self.ids, self.comps, self.sizes = (np.frombuffer(c, np.int64).copy() for c in (ids, comps, sizes))
+        self.sets = np.split(np.frombuffer(codes, np.uint64), np.cumsum(self.sizes)[:-1])
+        self.sketches = np.stack([np.frombuffer(parity_sketch(c, BITS), np.uint64) for c in self.sets])
+
+
 def compare_blocks(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Links (a, b), smaller id first, between the members of two blocks, or of one (the other is null): one for each time two components become one."""
     for row in rows:
-        ids_a, comps_a, n_a, bits_a, ids_b, comps_b, n_b, bits_b = (np.frombuffer(c, np.int64) for c in row)
-        bits_a, bits_b = (x.view(np.uint64).reshape(len(i), -1) for x, i in ((bits_a, ids_a), (bits_b, ids_b)))  # counts need unsigned
-        for i in range(len(ids_a)):
-            sizes = 5 * np.minimum(n_a[i], n_b) >= 4 * np.maximum(n_a[i], n_b)
-            others = np.flatnonzero(sizes & (comps_a[i] != comps_b))
-            apart = np.bitwise_count(bits_a[i] ^ bits_b[others]).sum(axis=1)
-            for j in others[9 * apart <= n_a[i] + n_b[others]]:
-                a, b = int(ids_a[i]), int(ids_b[j])
-                yield (a, b) if a < b else (b, a)
+        one = Block(*row[:4])
+        other = one if row[4] is None else Block(*row[4:])
+        for i in range(len(one.ids)):
+            sizes = 5 * np.minimum(one.sizes[i], other.sizes) >= 4 * np.maximum(one.sizes[i], other.sizes)
+            near = np.flatnonzero(sizes & (one.comps[i] != other.comps))
+            apart = np.bitwise_count(one.sketches[i] ^ other.sketches[near]).sum(axis=1)
+            for j in near[9 * apart <= one.sizes[i] + other.sizes[near]]:
+                old, new = other.comps[j], one.comps[i]
+                if old != new and (other is not one or j > i) and similar(one.sets[i], other.sets[j]):
+                    for block in (one, other):
+                        block.comps[block.comps == old] = new
+                    yield tuple(sorted((int(one.ids[i]), int(other.ids[j]))))
 
 
 def linked(docs: DataFrame, rows: DataFrame, small: int = SMALL, small_rare: int = SMALL_RARE) -> DataFrame | None:
@@ -276,7 +344,7 @@ def linked(docs: DataFrame, rows: DataFrame, small: int = SMALL, small_rare: int
         if not level:
             texts = texts_of(docs, members.select("set_id").distinct().join(sets, "set_id").select("doc_id").distinct())
             keyed = rare_first(texts)
-    links.compare(links.near_in_groups(members))
+    links.join_within(members, texts)
     return links.labels
 
 
