@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, MapType, StringType
@@ -163,3 +163,24 @@ def identify(docs: DataFrame, model: LanguageModel, docs_at_once: int = 64) -> D
                 yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, wanted.types)], schema=wanted)
 
     return docs.select(*kept, letters.alias("__letters")).mapInArrow(predict, out)
+
+
+def language(model: LanguageModel, text: str = "text", docs_at_once: int = 64) -> Column:
+    """The language of a text as ``identify`` tells it. Only the text goes to Python and only the name comes back."""
+    languages = model.languages
+
+    def predict(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in arrays:
+            names: list[str] = []
+            for first in range(0, len(whole), docs_at_once):
+                texts = whole.slice(first, docs_at_once).to_pylist()
+                rows = [i for i, t in enumerate(texts) if t is not None and languages]
+                found = [UNKNOWN] * len(texts)
+                if rows:
+                    counts = np.stack([counts_of(texts[i], len(model.likelihood)) for i in rows])
+                    for i, share in zip(rows, mixtures(counts, model)):
+                        found[i] = languages[int(share.argmax())]
+                names += found
+            yield pa.array(names, pa.string())
+
+    return F.arrow_udf(predict, "string", F.ArrowUDFType.SCALAR_ITER)(F.when(F.col(text).rlike(r"\p{L}"), F.col(text)))

@@ -142,3 +142,9 @@ def test_pages(spark):
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in template_html.extract(pages).collect())
     assert got == [(i, f"text {i} one&two", 14) for i in range(4)] + [(9, "", 0), (9, "a b", 3), (9, "a b", 3)]
     assert template_html.extract(pages.limit(0)).count() == 0
+
+
+def test_language_column(nasty):
+    model = language_mixture.fit(nasty)
+    both = language_mixture.identify(nasty, model).withColumn("alone", language_mixture.language(model)).select("lang_pred", "alone").collect()
+    assert len(both) == len(ROWS) and all(r["lang_pred"] == r["alone"] for r in both)
