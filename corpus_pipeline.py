@@ -12,8 +12,7 @@ from hitframe.session import written
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter (null and empty texts too) go."""
-    found = language_mixture.identify(docs, language_model(docs))
-    return found.where(F.col("lang_pred") != language_mixture.UNKNOWN).select(*docs.columns)
+    return docs.where(language_mixture.language(language_model(docs)) != language_mixture.UNKNOWN)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
