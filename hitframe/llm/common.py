@@ -7,13 +7,25 @@ import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an output batch; a batch is also closed at about this many characters of its strings and bytes.
 OUT_ROWS, OUT_CHARS = 4096, 8 << 20
 
 
+#: Rows of a batch that goes to Python where rows are long texts.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """At most ``TEXT_ROWS`` rows in a batch for Python from now on: a task's batches of texts, and what the allocators keep of them, stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def per_worker(key, make: Callable):
     """The value of ``make()``, kept for the life of a Python worker; tasks of one worker share it."""
     kept = sys.modules.setdefault("_hitframe_worker", types.ModuleType("_hitframe_worker")).__dict__.setdefault("kept", {})

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from hitframe.llm.common import arrow_schema, map_partition
+from hitframe.llm.common import arrow_schema, map_partition, small_batches
 from hitframe.llm.components import components
 from hitframe.llm.shingles import fingerprint, parity_sketch, shingle_set, similar, sketch_keys
 from hitframe.session import written
@@ -359,6 +359,7 @@ def near_duplicates(docs: DataFrame, small: int = SMALL) -> DataFrame:
     empty, white space) has the empty set and no link. A row with a null id has no link, and a null component. Repeated rows each get their row. Columns other than doc_id and text are
     ignored. Shingles and sets are told apart by 64-bit hashes.
     """
+    small_batches(docs.sparkSession)
     rows = written(sketches(docs), "sketches")
     labels = linked(docs, rows, small)
     named = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_id")
