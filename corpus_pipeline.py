@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitframe.llm import language_mixture, ngram_join, packing, secret_scan, stream_dedup
+from hitframe.llm.common import small_batches
 from hitframe.llm.queries import CAPACITY, RANKS, SEPARATOR, language_model, ranks, table
 from hitframe.session import written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter (null and empty texts too) go."""
+    small_batches(spark)
     return docs.where(language_mixture.language(language_model(docs)) != language_mixture.UNKNOWN)
 
 
