@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hitframe.functions import fitting
 from hitframe.operators.spectra import SPECTRUM_BINS, histogram
 
 # Default fit settings and the default half width of the photopeak window, relative to the mean.
@@ -166,6 +167,13 @@ def fit_histogram(
     )
 
 
+def dense(hist: DataFrame, by: list[str], bins: int) -> DataFrame:
+    """One row per group: ``counts``, an array of double with every bin of a histogram (columns ``by``, ``bin``, ``count``)."""
+    found = hist.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("bin", F.col("count").cast("double")))).alias("m"))
+    zero = F.lit(0.0)
+    return found.select(*by, F.transform(fitting.indices(bins), lambda i: F.coalesce(F.try_element_at("m", i), zero)).alias("counts"))
+
+
 def fit_peaks(
     hist: DataFrame,
     by: list[str],
@@ -177,24 +185,60 @@ def fit_peaks(
     model: str = "gaussian",
     legacy_half_bin: bool = False,
 ) -> DataFrame:
-    """One fit per group of a histogram (columns ``by``, ``bin``, ``count``).
+    """One fit per group of a histogram (columns ``by``, ``bin``, ``count``), around the maximum (``finder="max"``) or around the rightmost
+    good peak (``"peak"``; the maximum if there is none).
 
     Columns: ``params`` (area, mean, sigma, twice for ``model="double"``), ``covariance``, ``chi2_ndf``, the ``curve``
-    at all bin centres, and ``problem`` (NULL on success; a group that cannot be fitted is reported, not dropped).
-    ``legacy_half_bin`` evaluates the maximum finder half a bin too high, as older results did.
+    at all bin centres, and ``problem`` (NULL on success; a group that cannot be fitted is reported, not dropped). A double fit starts from the
+    moments of the points on both sides of the mean. ``legacy_half_bin`` evaluates the maximum finder half a bin too high, as older results did.
+
+    A group's histogram is one row with an array of all bins, and everything after that happens in columns.
     """
-    width = (limits[1] - limits[0]) / bins
-    schema = T.StructType([hist.schema[c] for c in by] + FIT_FIELDS)
-    low, shift = limits[0], width / 2 if legacy_half_bin else 0.0
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(bins)
-        counts[rows["bin"].to_numpy()] = rows["count"].to_numpy()
-        centres = low + (np.arange(bins) + 0.5) * width
-        result = fit_histogram(counts, centres, cb, min_peak, finder, model, shift)
-        return pd.DataFrame([{**{c: rows[c].iloc[0] for c in by}, **result}])[[f.name for f in schema]]
-
-    return hist.select(*by, "bin", "count").groupBy(*by).applyInPandas(fit, schema)
+    width, count = (limits[1] - limits[0]) / bins, 2 if model == "double" else 1
+    shift = width / 2 if legacy_half_bin else 0.0
+    counts = F.col("counts")
+    centre = lambda i: limits[0] + (i + 0.5) * width
+    get = lambda c, i: F.get(c, F.lit(i))
+
+    rows = dense(hist, by, bins).withColumn("__top", F.array_max(counts))
+    peak = F.lit(None).cast("int")
+    if finder == "peak":
+        peak = fitting.rightmost_peak(counts, F.col("__top") / 2, cb, min_peak // 2, cb // 2)
+    rows = rows.withColumn("__peak", F.when(F.col("__top") >= min_peak, peak))
+    middle = F.coalesce("__peak", (F.array_position(counts, F.col("__top")) - 1).cast("int"))
+    rows = rows.withColumn("__middle", middle)
+    part = F.sequence(F.greatest(F.col("__middle") - cb, F.lit(0)), F.least(F.col("__middle") + cb, F.lit(bins)) - 1)
+    x = lambda i: centre(i) + F.when(F.col("__peak").isNull(), F.lit(shift)).otherwise(F.lit(0.0))
+    point = lambda i: F.struct(x(i).alias("x"), F.get(counts, i).alias("y"), F.sqrt(F.get(counts, i)).alias("err"))
+    rows = rows.withColumn("__points", F.filter(F.transform(part, point), lambda q: q["y"] > 0))
+    points = F.col("__points")
+
+    whole = fitting.moments(points)
+    rows = rows.withColumn("__m", whole)
+    mean = F.coalesce(centre(F.col("__peak")), F.col("__m.mean"))
+    rows = rows.withColumn("__mean", mean).withColumn("__spread", fitting.spread(points, F.col("__m.total"), F.col("__mean")))
+    start = F.array("__m.total", "__mean", F.sqrt("__spread"))
+    if count == 2:
+        left, right = (fitting.moments(F.filter(points, side)) for side in (lambda q: q["x"] < F.col("__mean"), lambda q: q["x"] >= F.col("__mean")))
+        rows = rows.withColumn("__left", left).withColumn("__right", right)
+        half = lambda c: (
+            F.col(f"{c}.total"), F.coalesce(F.col(f"{c}.mean"), F.col("__mean")),
+            F.when(F.col(f"{c}.spread") > 0, F.sqrt(f"{c}.spread")).otherwise(F.sqrt("__spread") / 2),
+        )
+        start = F.array(*half("__left"), *half("__right"))
+    problem = F.when(F.col("__top") < min_peak, "maximum below the required height").when(~F.coalesce(F.col("__spread") > 0, F.lit(False)), "no width to fit")
+    rows = rows.withColumn("__problem", problem)
+    rows = rows.withColumn("__fit", F.when(F.col("__problem").isNull(), fitting.least_squares(points, start, count)))
+    freedom = F.size(points) - 3
+    good = F.col("__fit.found")
+    return rows.select(
+        *by,
+        F.when(good, F.col("__fit.p")).alias("params"),
+        F.when(good, F.col("__fit.covariance")).alias("covariance"),
+        F.when(good & (freedom > 0), F.try_divide(F.col("__fit.cost"), freedom)).alias("chi2_ndf"),
+        F.when(good, F.transform(fitting.indices(bins), lambda i: fitting.curve(centre(i), F.col("__fit.p"), count))).alias("curve"),
+        F.coalesce(F.col("__problem"), F.when(~F.coalesce(good, F.lit(False)), "no fit found")).alias("problem"),
+    )
 
 
 def photopeak_window(
