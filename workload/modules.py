@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hitframe.operators import features, filters, fits, spectra
 from hitframe.plans import coincidence
+from workload.fit_sql import fit_ctes, fit_rows
 from workload.fixtures import hits_a, table, with_views
 from workload.registry import query
 
@@ -207,25 +208,46 @@ def fit_columns(fitted):
     )
 
 
-@query("g09_peak_fit")
+def fit_query(**options) -> str:
+    hist = f", hist AS (SELECT sm, mm, {bin_sql('module_energy', 0.0, 120.0, 40)} AS bin, count(*) AS count FROM best_a GROUP BY ALL)"
+    return recursive(with_views("best_a", hist + fit_ctes("hist", 40, 0.0, 120.0, 20, **options) + "\n" + fit_rows()))
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("g09_peak_fit", fit_query(finder="peak"))
 def g09(spark, sf):
     hist = energy_histogram(spark, sf)
     return fit_columns(fits.fit_peaks(hist, ["sm", "mm"], 40, (0.0, 120.0), min_peak=20, finder="peak"))
 
 
-@query("g10_gaussian_fit")
+@query("g10_gaussian_fit", fit_query())
 def g10(spark, sf):
     hist = energy_histogram(spark, sf)
     return fit_columns(fits.fit_peaks(hist, ["sm", "mm"], 40, (0.0, 120.0), min_peak=20))
 
 
-@query("g11_double_gaussian_fit")
+@query("g11_double_gaussian_fit", fit_query(count=2))
 def g11(spark, sf):
     hist = energy_histogram(spark, sf)
     return fit_columns(fits.fit_peaks(hist, ["sm", "mm"], 40, (0.0, 120.0), min_peak=20, model="double"))
 
 
-@query("g12_photopeak_events")
+@query(
+    "g12_photopeak_events",
+    recursive(
+        with_views(
+            "ha",
+            f""", e AS (SELECT event_id, sum(energy) FILTER (WHERE side = 1) AS energy1, sum(energy) FILTER (WHERE side = 2) AS energy2
+                        FROM ha GROUP BY event_id),
+              hist AS (SELECT 0 AS sm, 0 AS mm, {bin_sql("energy1", 0.0, 200.0, 50)} AS bin, count(*) AS count FROM e GROUP BY ALL)"""
+            + fit_ctes("hist", 50, 0.0, 200.0, 20)
+            + "SELECT event_id, energy1, energy2 FROM e, fitted WHERE energy1 > p[2] * 0.8::DOUBLE AND energy1 < p[2] * 1.2::DOUBLE",
+        )
+    ),
+)
 def g12(spark, sf):
     pairs = filters.pair_sides(features.total_energy(hits_a(spark, sf)), ["energy"])
     window = fits.photopeak_window(pairs, "energy1", bins=50, limits=(0.0, 200.0), min_peak=20)
