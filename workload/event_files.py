@@ -9,6 +9,8 @@ import struct
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +100,10 @@ def _fixed(side, hits, starts, group: bool, hit_limit: int) -> bytes:
     return out.tobytes()
 
 
+#: Parts into which the events of one value are dealt.
+SALTS = 16
+
+
 def write_event_files(
     hits: DataFrame,
     path: str,
@@ -106,17 +112,19 @@ def write_event_files(
     hit_limit: int | None = None,
     tail: bytes = b"",
     by: str | None = None,
-    files: int = 4,
+    files: int | None = None,
 ) -> None:
     """Write events as files; ``tail`` is appended to each. With ``by`` a file holds one value of that column and the
-    value is part of its name. Without ``hit_limit`` fixed records are as long as the longest event side needs."""
+    value is part of its name; events of one value are dealt over several files. Without ``hit_limit`` fixed records are as long as the longest
+    event side needs. The number of files is that of the shuffle's partitions, which adaptive execution takes from the size, or ``files``."""
     make_folder(path)
     if layout == "fixed" and hit_limit is None:
         side = ["event_id"] if group else ["event_id", "side"]
         hit_limit = hits.groupBy(*side).count().agg(F.max("count")).first()[0] or 0
     keys = ["event_id"] if by is None else [by, "event_id"]
     placed = hits.select(*keys, "side", "hit_idx", "time", "energy", "channel")
-    spread = placed.repartition(files, *keys[:1]).sortWithinPartitions(*keys, "side", "hit_idx").drop("hit_idx")
+    dealt = ["event_id"] if by is None else [by, F.pmod(F.xxhash64("event_id"), F.lit(SALTS))]
+    spread = placed.repartition(*([files] if files else []), *dealt).sortWithinPartitions(*keys, "side", "hit_idx").drop("hit_idx")
 
     def encode(side, h, starts) -> bytes:
         return _compact(side, h, starts, group) if layout == "compact" else _fixed(side, h, starts, group, hit_limit)
@@ -137,13 +145,16 @@ def write_event_files(
 
 
 def _by_value(batches: Iterator[pa.RecordBatch], by: str | None):
-    """Runs of equal ``by`` in sorted batches."""
+    """Runs of equal ``by`` in sorted batches, one batch at a time."""
     if by is None:
         yield None, batches
         return
-    runs: dict = {}
-    for batch in batches:
-        values = batch.column(by).to_numpy(zero_copy_only=False)
-        for v in np.unique(values):
-            runs.setdefault(int(v), []).append(batch.filter(pa.array(values == v)).drop_columns([by]))
-    yield from runs.items()
+
+    def parts():
+        for batch in batches:
+            values = batch.column(by).to_numpy(zero_copy_only=False)
+            for v in np.unique(values):
+                yield int(v), batch.filter(pa.array(values == v)).drop_columns([by])
+
+    for value, run in groupby(parts(), key=itemgetter(0)):
+        yield value, (batch for _, batch in run)

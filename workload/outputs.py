@@ -138,20 +138,34 @@ def w05(spark, sf):
     return sinks.listmode_table(listmode_pairs(spark, sf), "V5")
 
 
-@query(
-    "w06_listmode_header",
-    with_views(
-        "best_a",
-        """SELECT 'run' AS identifier, CAST(count(*) AS DOUBLE) AS rawCounts, 'F18' AS isotope,
-                  CAST(60 AS DOUBLE) AS acqTime
-           FROM (SELECT event_id FROM best_a GROUP BY file_id, event_id HAVING count(*) = 2)""",
-    ),
-)
+#: What is given for the header of the fixture; ``rawCounts`` comes from the events.
+HEADER_VALUES = {
+    "identifier": "run", "acqTime": 60.0, "activity": 1.5, "isotope": "F18", "detectorSizeX": 103.22, "detectorSizeY": 103.22,
+    "startTime": 12.25, "measurementTime": 60.0, "moduleNumber": 4, "ringNumber": 1, "ringDistance": 0.0, "detectorDistance": 410.5,
+    "isotopeHalfLife": 6586.2, "weight": 70.5, "maxTemp": 25.0, "percentLoss": 0.25, "detectorPixelSizeX": 3.25, "detectorPixelSizeY": 3.25,
+    "version": [5, 1], "breast": "L", "gatePeriod": 0.5, "DOILayer": 2, "method": 1, "StudyId": 77, "detectorPixelsX": 16, "detectorPixelsY": 8,
+}
+SQL_TYPES = {"string": "VARCHAR", "double": "DOUBLE", "int": "INTEGER", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def header_sql() -> str:
+    columns = ["CAST(count(*) AS DOUBLE) AS rawCounts"]
+    for field in sinks.HEADER.split(", "):
+        name, kind = field.split(" ")
+        if name == "version":
+            columns += [f"CAST({v} AS TINYINT) AS version_{k}" for k, v in enumerate(HEADER_VALUES[name])]
+        elif name != "rawCounts":
+            columns.append(f"CAST({HEADER_VALUES[name]!r} AS {SQL_TYPES[kind]}) AS {name}")
+    return f"SELECT {', '.join(columns)} FROM (SELECT event_id FROM best_a GROUP BY file_id, event_id HAVING count(*) = 2)"
+
+
+@query("w06_listmode_header", with_views("best_a", header_sql()))
 def w06(spark, sf):
     sides = features.strongest_module(hits_a(spark, sf))
     both = filters.both_sides(sides, F.lit(True))
-    header = sinks.listmode_header(both, F.col("passed"), identifier="run", isotope="F18", acqTime=60.0)
-    return header.select("identifier", "rawCounts", "isotope", "acqTime")
+    header = sinks.listmode_header(both, F.col("passed"), **HEADER_VALUES)
+    version = [F.col("version")[k].alias(f"version_{k}") for k in range(2)]
+    return header.select(*[c for c in header.columns if c != "version"], *version)
 
 
 @query(
