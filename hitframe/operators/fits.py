@@ -1,16 +1,17 @@
-"""Gaussian fits of histograms, one small histogram per group and task call.
+"""Gaussian fits of histograms.
 
-The histogram is made in Spark; a Python call only ever sees the bins of one group (at most the bin count of the
-spectrum), whatever number of events lies behind it.
+The histogram of a group is one row with an array of its bins, whatever number of events lies behind it, and is fitted by column
+expressions (``functions.fitting``). ``fit_histogram``, ``least_squares`` and ``rightmost_peak`` do the same for one histogram at hand, on the driver.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
-import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hitframe.functions import fitting
 from hitframe.operators.spectra import SPECTRUM_BINS, histogram
@@ -18,14 +19,6 @@ from hitframe.operators.spectra import SPECTRUM_BINS, histogram
 # Default fit settings and the default half width of the photopeak window, relative to the mean.
 HALF_RANGE, MIN_PEAK, PEAK_SHARE = 8, 50, 0.2
 
-FIT_FIELDS = [
-    T.StructField("params", T.ArrayType(T.DoubleType())),
-    T.StructField("covariance", T.ArrayType(T.ArrayType(T.DoubleType()))),
-    T.StructField("chi2_ndf", T.DoubleType()),
-    T.StructField("curve", T.ArrayType(T.DoubleType())),
-    T.StructField("problem", T.StringType()),
-]
-
 
 def _bells(x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sum of area-normalised Gaussians (three parameters each) and its derivatives."""
@@ -167,6 +160,12 @@ def fit_histogram(
     )
 
 
+@lru_cache(maxsize=8)
+def _fit_column(count: int, jvm) -> Column:
+    """The fit of ``__points`` from ``__start``; making it takes about a second, so it is kept for other tables of the same JVM."""
+    return fitting.least_squares(F.col("__points"), F.col("__start"), count)
+
+
 def dense(hist: DataFrame, by: list[str], bins: int) -> DataFrame:
     """One row per group: ``counts``, an array of double with every bin of a histogram (columns ``by``, ``bin``, ``count``)."""
     found = hist.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("bin", F.col("count").cast("double")))).alias("m"))
@@ -228,7 +227,8 @@ def fit_peaks(
         start = F.array(*half("__left"), *half("__right"))
     problem = F.when(F.col("__top") < min_peak, "maximum below the required height").when(~F.coalesce(F.col("__spread") > 0, F.lit(False)), "no width to fit")
     rows = rows.withColumn("__problem", problem)
-    rows = rows.withColumn("__fit", F.when(F.col("__problem").isNull(), fitting.least_squares(points, start, count)))
+    rows = rows.withColumn("__start", start)
+    rows = rows.withColumn("__fit", F.when(F.col("__problem").isNull(), _fit_column(count, SparkContext._jvm)))
     freedom = F.size(points) - 3
     good = F.col("__fit.found")
     return rows.select(
