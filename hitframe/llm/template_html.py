@@ -3,8 +3,9 @@
 Tokens of a page are its tags and text nodes, each with the path of the elements around it. Tokens of a host with the same
 occurrence vector (how often on which page) form a class. Classes that most pages have, whose tokens come in one order and
 which lie inside one another, make up the host's template; what lies between its tokens are the slots. The text is that
-of the slots, inside the article too; the elements only tell which slots are the article's. Where they leave no slot (a page
-all of whose text other pages have), they decide alone.
+of the slots; the elements only tell which slots are the article's. Inside the article a text is the template's only if it
+occurs just as the page's skeleton does (its outermost element), on a host with enough pages: editions of one article keep what
+they share. Where no slot is left (a page all of whose text other pages have), the elements decide alone.
 
 Occurrence vectors are never gathered: two sums over hashes of (page, count) stand for a vector, so a host that holds a
 third of all pages is added up before the shuffle like any other.
@@ -27,6 +28,8 @@ from hitframe.session import written
 
 #: A template token is on at least this share of a host's pages and on so many pages.
 SUPPORT, LEAST_PAGES = 0.5, 3
+#: A text inside the article is the template's only on hosts with so many pages.
+LEAST_INSIDE = 5
 #: Sums of so many tokens are held before they are passed on.
 HELD = 200_000
 
@@ -60,13 +63,14 @@ ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 
 @dataclass
 class Box:
-    """An element that encloses blocks."""
+    """An element that encloses blocks. ``path`` is a hash of the names from the outermost element on, of one length at any depth."""
 
     name: str
     parent: int
     path: str
     apart: bool
     main: bool
+    inside_main: bool = False
     holds_main: bool = False
 
 
@@ -94,6 +98,7 @@ def is_apart(name: str, known: dict[str, str], in_main: bool) -> bool:
 def parse(source: str) -> Page:
     """Tokens of a page. End tags that are missing or have no start do no harm; what is cut off at the end is kept."""
     page, at, now, ends = Page(), 0, 0, True
+    open_names: Counter = Counter()
 
     def text(piece: str):
         nonlocal ends
@@ -111,26 +116,24 @@ def parse(source: str) -> Page:
         elif name in BOXES:
             ends = True
             if m[2]:
-                k = now
-                while k > 0 and page.boxes[k].name != name:
-                    k = page.boxes[k].parent
-                if k > 0:
-                    page.tokens.append((f"{page.boxes[k].path}</", k, None, True))
-                    now = page.boxes[k].parent
+                if open_names[name]:  # closes all that is open inside it too
+                    while page.boxes[now].name != name:
+                        open_names[page.boxes[now].name] -= 1
+                        now = page.boxes[now].parent
+                    page.tokens.append((f"{page.boxes[now].path}</", now, None, True))
+                    open_names[name] -= 1
+                    now = page.boxes[now].parent
             else:
-                known = marks(m[4])
+                known, outer = marks(m[4]), page.boxes[now]
+                main = name in MAIN or known.get("role", "").lower() == "main"
+                inside = main or outer.inside_main
                 label = f"{name}.{known.get('class', '')}#{known.get('id', '')}"
-                in_main = name in MAIN or known.get("role", "").lower() == "main"
-                k = now
-                while not in_main and k > 0:
-                    in_main, k = page.boxes[k].main, page.boxes[k].parent
-                apart = is_apart(name, known, in_main)
-                box = Box(name, now, f"{page.boxes[now].path}/{label}", apart, name in MAIN or known.get("role", "").lower() == "main")
-                page.boxes.append(box)
-                now = len(page.boxes) - 1
-                page.tokens.append((f"{box.path}<", now, None, True))
-                k = box.parent
-                while box.main and k >= 0 and not page.boxes[k].holds_main:
+                path = f"{number(f'{outer.path}/{label}'):x}"
+                page.boxes.append(Box(name, now, path, is_apart(name, known, inside), main, inside))
+                k, now = now, len(page.boxes) - 1
+                open_names[name] += 1
+                page.tokens.append((f"{path}<", now, None, True))
+                while main and k >= 0 and not page.boxes[k].holds_main:
                     page.boxes[k].holds_main, k = True, page.boxes[k].parent
     text(source[at:])
     return page
@@ -166,7 +169,7 @@ def vectors(rows: Iterator[tuple]) -> Iterator[tuple]:
 
 
 def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST_PAGES) -> DataFrame:
-    """host, ``template``: its tokens with class number, in their order within the class.
+    """host, ``of`` (its pages), ``template``: its tokens with class number, in their order within the class.
 
     A host's tokens that are on half of its pages are at most twice as many as an average page of it has. What is joined by
     host is written first (it is small beside the pages): adaptive execution splits a host's rows only in joins of tables
@@ -178,7 +181,7 @@ def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST_PAG
     frequent = per_token.join(hosts, "host").where((F.col("pages") >= least) & (F.col("pages") >= support * F.col("of")))
     classes = written(frequent.withColumn("class", F.xxhash64("x", "s", "pages")), "classes")
     token = F.struct("class", (F.col("place") / F.col("pages")).alias("place"), "token")
-    return written(classes.groupBy("host").agg(F.sort_array(F.collect_list(token)).alias("template")), "templates")
+    return written(classes.groupBy("host").agg(F.max("of").alias("of"), F.sort_array(F.collect_list(token)).alias("template")), "templates")
 
 
 def valid_places(numbers: list[int], template: list[tuple[int, int]]) -> set[int]:
@@ -207,23 +210,33 @@ def valid_places(numbers: list[int], template: list[tuple[int, int]]) -> set[int
     return {k for own, _ in kept for k in own}
 
 
-def main_text(source: str, template: list[tuple[int, int]]) -> str:
-    """Text of the slots of a page, outside what is set apart from the article; blocks joined by one space."""
+def main_text(source: str, template: list[tuple[int, int]], inside: bool = True) -> str:
+    """Text of the slots of a page, outside what is set apart from the article; blocks joined by one space.
+
+    ``inside`` tells whether texts of the template may lie inside the article.
+    """
     page = parse(source)
-    fixed = valid_places([number(t[0]) for t in page.tokens], template) if template else set()
+    numbers = [number(t[0]) for t in page.tokens] if template else []
+    fixed = valid_places(numbers, template)
     held = [0] * len(page.boxes)  # characters of slot text
     for k, (_, box, text, _) in enumerate(page.tokens):
         if text is not None and k not in fixed:
             held[box] += len(text.strip())
     for i in range(len(held) - 1, 0, -1):  # a box comes after those around it
         held[page.boxes[i].parent] += held[i]
+    apart = []
     for b, n in zip(page.boxes, held):
-        b.apart = b.apart and (b.name in SURE or 2 * n <= held[0])
-    has_main = any(b.main and not _set_apart(page, i) for i, b in enumerate(page.boxes))
-    use = {box: not _set_apart(page, box) and (not has_main or _inside_main(page, box)) for _, box, text, _ in page.tokens if text is not None}
-    read = [k for k, (_, box, text, _) in enumerate(page.tokens) if text is not None and use[box]]
-    if any(k not in fixed and page.tokens[k][2].strip() for k in read):
-        read = [k for k in read if k not in fixed or not page.tokens[k][2].strip()]
+        own = b.apart and not b.holds_main and (b.name in SURE or 2 * n <= held[0])
+        apart.append(own or b.parent >= 0 and apart[b.parent])
+    has_main = any(b.main and not out for b, out in zip(page.boxes, apart))
+    read = [k for k, (_, box, text, _) in enumerate(page.tokens) if text is not None and not apart[box] and (page.boxes[box].inside_main or not has_main)]
+    shared = fixed
+    if fixed and has_main:
+        classes = {t: c for c, t in template}
+        skeleton = next((classes.get(n) for n, t in zip(numbers, page.tokens) if t[2] is None), None)
+        shared = {k for k in fixed if inside and skeleton is not None and classes[numbers[k]] == skeleton}
+    if any(k not in shared and page.tokens[k][2].strip() for k in read):
+        read = [k for k in read if k not in shared or not page.tokens[k][2].strip()]
     blocks, wanted = [""], set(read)
     for k, (_, _, text, ends) in enumerate(page.tokens):
         if ends:
@@ -233,34 +246,21 @@ def main_text(source: str, template: list[tuple[int, int]]) -> str:
     return " ".join(b for b in (" ".join(b.split()) for b in blocks) if b)
 
 
-def _chain(page: Page, box: int) -> Iterator[Box]:
-    while box >= 0:
-        yield page.boxes[box]
-        box = page.boxes[box].parent
-
-
-def _set_apart(page: Page, box: int) -> bool:
-    return any(b.apart and not b.holds_main for b in _chain(page, box))
-
-
-def _inside_main(page: Page, box: int) -> bool:
-    return any(b.main for b in _chain(page, box))
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
     Null html is empty; an empty page or one without article text has an empty text. Pages whose url is null or has no host
-    share the empty host. Hosts with few pages have no template, and their pages are read by their elements alone.
+    share the empty host. Hosts with fewer than ``LEAST_PAGES`` pages have no template, and their pages are read by their elements
+    alone. On a host of at least ``LEAST_INSIDE`` pages, a heading or sentence that every article has once is the template's.
     Repeated rows each get their row; other columns are ignored.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
     def make(read):
-        for page_id, url, source, template in read:
-            text = main_text(source, [(t["class"], t["token"]) for t in template or ()])
+        for page_id, url, source, of, template in read:
+            text = main_text(source, [(t["class"], t["token"]) for t in template or ()], (of or 0) >= LEAST_INSIDE)
             yield page_id, url, text, len(text)
 
-    known = rows.join(templates(rows), "host", "left").select("page_id", "url", "html", "template")
+    known = rows.join(templates(rows), "host", "left").select("page_id", "url", "html", "of", "template")
     return map_partition(known, make, "page_id long, url string, text string, n_chars long")
