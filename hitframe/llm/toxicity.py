@@ -16,8 +16,8 @@ from hitframe.llm.common import map_partition, text_or_empty
 
 #: n-gram lengths (a word's edges count as one byte each), hash cells of their vectors, length of a vector, words of a window.
 LENGTHS, CELLS, DIM, WINDOW = (3, 4, 5), 1 << 16, 8, 4
-#: Bounds of the training sample: rows of each label, and characters of all.
-ROWS, CHARS = 3000, 24_000_000
+#: Bounds of the training sample, for each label: documents and characters.
+ROWS, CHARS = 3000, 12_000_000
 #: Bytes of a text that are looked at together.
 STEP = 1 << 18
 
@@ -169,24 +169,34 @@ def sample(marks: DataFrame, rows: int = ROWS) -> DataFrame:
     return of(0).unionByName(of(1))
 
 
+def within(sizes: list[tuple], chars: int = CHARS) -> list:
+    """Ids of (id, label, characters), in their order, as far as each label's ``chars`` go; one that doesn't fit is passed over."""
+    left: dict[int, int] = {}
+    chosen = []
+    for key, label, size in sizes:
+        if size <= left.setdefault(label, chars):
+            left[label] -= size
+            chosen.append(key)
+    return chosen
+
+
 def fit(documents: DataFrame, labels: DataFrame, usable: Column, rows: int = ROWS, chars: int = CHARS, **options) -> ToxicityModel:
     """A model of ``labels.toxic``, from a bounded sample of the labelled rows that are ``usable``.
 
     The sample is drawn from the ids, which are then broadcast (``2 * rows`` of them at most), so texts are filtered where they
-    are read and none is shuffled. The driver gets at most ``2 * rows`` texts, the shortest first, and ``chars`` characters. Weights
+    are read and none is shuffled. Their lengths are summed first (a row counts one more than its characters), and only ids that
+    fit ``chars`` of their label, in the order of the hash, are read: the driver gets no more than it trains on. Weights
     give the two labels the shares that they have among all usable rows. Labels that are null or neither 0 nor 1 are left
     out, as are labels without a document; a document with several labels is toxic if one says so.
     """
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(usable)
     totals = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    chosen = documents.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample(marks, rows)), "doc_id").limit(2 * rows)
-    texts, ys, used = [], [], 0
-    for r in sorted(chosen.collect(), key=lambda r: (len(r["text"]), r["text"])):
-        if used + len(r["text"]) > chars:
-            break
-        texts.append(r["text"])
-        ys.append(int(r["toxic"]))
-        used += len(r["text"])
+    docs = documents.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample(marks, rows)), "doc_id")
+    lengths = docs.groupBy("doc_id", "toxic").agg(F.sum(F.length("text") + 1).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = within([(r["doc_id"], r["toxic"], r["size"]) for r in lengths.collect()], chars)
+    chosen = docs.where(F.col("doc_id").isin(ids)).collect() if ids else []
+    chosen.sort(key=lambda r: (len(r["text"]), r["text"]))
+    texts, ys = [r["text"] for r in chosen], [int(r["toxic"]) for r in chosen]
     share = {y: totals.get(y, 0) / max(1, ys.count(y)) for y in (0, 1)}
     return train(texts, ys, [share[y] for y in ys], **options)
 
