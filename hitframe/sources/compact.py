@@ -11,14 +11,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.parquet as pq
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from hitframe.schema import EVENTS
-from hitframe.sources.decode import HIT_DTYPE, MODES, base_name, event_batch, numbered_files, open_fs
+from hitframe.sources.decode import HIT_DTYPE, MODES, base_name, event_batch, file_number, list_files, numbered_files, open_fs
 from hitframe.sources.fixed import cleaned
 
 HIT_BYTES = HIT_DTYPE.itemsize
 READ_BYTES = 8 << 20
+#: Tasks over which the splits of an index are dealt.
+MOST_TASKS = 10_000
 
 
 def walk(data: bytes, sides: int, start: int = 0) -> tuple[list[int], int]:
@@ -103,6 +107,33 @@ class ByteRange(InputPartition):
         super().__init__(self.path)
 
 
+@dataclass
+class IndexRows(InputPartition):
+    file: str
+    group: int
+    first: int
+    count: int
+
+    def __post_init__(self):
+        super().__init__(self.file)
+
+
+def check_covered(index: str, sizes: dict[str, int]) -> frozenset[str]:
+    """An error for a file that the index doesn't have in its present size; the index's files that are not listed."""
+    store, bare = open_fs(index)
+    table = ds.dataset(bare, filesystem=store, format="parquet")
+    missing, others = {path for path, size in sizes.items() if size}, set()
+    for batch in table.to_batches(columns=["path", "file_bytes"], filter=ds.field("start") == 0):
+        for path, size in zip(*(c.to_numpy(zero_copy_only=False) for c in batch.columns)):
+            if path not in sizes:
+                others.add(path)
+            elif sizes[path] == size:
+                missing.discard(path)
+    if missing:
+        raise ValueError(f"the split index does not cover {min(missing)}; build it again")
+    return frozenset(others)
+
+
 class CompactReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
@@ -110,6 +141,7 @@ class CompactReader(DataSourceReader):
         threshold = options.get("min_energy")
         self.min_energy = None if threshold is None else float(threshold)
         self.index = options.get("index")
+        self.not_listed: frozenset[str] = frozenset()
         self.mode = options.get("mode", "permissive").lower()
         if self.mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}")
@@ -123,23 +155,32 @@ class CompactReader(DataSourceReader):
         return ranges or [ByteRange("", -1, 0, 0, 0)]
 
     def _indexed(self, files) -> list[InputPartition]:
-        """One split per index row. The index has one row per ~100 MB of data, so it is small on the driver too."""
-        import pyarrow.dataset as ds
-
-        store, bare = open_fs(self.index)
-        rows = ds.dataset(bare, filesystem=store, format="parquet").to_table().to_pylist()
-        ids = {path: (number, size) for path, size, number in files}
-        covered = {r["path"]: r["file_bytes"] for r in rows}
-        for path, (_, size) in ids.items():
-            if size and covered.get(path) != size:
-                raise ValueError(f"the split index does not cover {path}; build it again")
-        return [
-            ByteRange(r["path"], ids[r["path"]][0], r["start"], r["stop"], r["first_event"])
-            for r in sorted(rows, key=lambda r: (r["path"], r["start"]))
-            if r["path"] in ids
-        ]
+        """Rows of the index by row group and position; a task reads the splits that its rows name.
+
+        Only the listing, the index's footers and its first row of each file pass through the driver.
+        """
+        self.not_listed = check_covered(self.index, {path: size for path, size, _ in files})
+        groups = []
+        for file, _ in list_files(self.index):
+            store, bare = open_fs(file)
+            with store.open_input_file(bare) as f:
+                footer = pq.ParquetFile(f).metadata
+            groups += [(file, g, footer.row_group(g).num_rows) for g in range(footer.num_row_groups)]
+        step = max(1, -(-sum(n for *_, n in groups) // MOST_TASKS))
+        return [IndexRows(file, g, at, min(step, n - at)) for file, g, n in groups for at in range(0, n, step)]
+
+    def _read_indexed(self, rows: IndexRows):
+        store, bare = open_fs(rows.file)
+        with store.open_input_file(bare) as f:
+            splits = pq.ParquetFile(f).read_row_group(rows.group, columns=["path", "start", "stop", "first_event"])
+        for path, start, stop, first in zip(*(c.to_pylist() for c in splits.slice(rows.first, rows.count).columns)):
+            if path not in self.not_listed:
+                yield from decode_bytes(path, file_number(path), start, stop, first, self.sides, self.min_energy, self.mode)
 
     def read(self, partition):
+        if isinstance(partition, IndexRows):
+            yield from self._read_indexed(partition)
+            return
         if partition.stop <= partition.start:
             return
         yield from decode_bytes(

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import os
+import random
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from hitframe import sources
+from hitframe.sources.compact import CompactReader
 from hitframe.sources.decode import file_number
 from hitframe.sources.events import position_of, to_hits
 from hitframe.sources.split_index import split_index
@@ -125,6 +127,62 @@ def test_split_index_gives_the_same_events(spark, folder, every):
     assert sum(r["n_events"] for r in rows) == 7
 
 
+def serial_index(name: str, data: bytes, every: int, sides: int) -> list[tuple]:
+    """Splits as a plain walk from the first byte finds them."""
+    starts, at = [], 0
+    while at + sides <= len(data):
+        behind = at + sides + 16 * sum(data[at : at + sides])
+        if behind > len(data):
+            break
+        starts.append(at)
+        at = behind
+    cuts = [*range(0, max(len(starts), 1), every), len(starts)]
+    places = [starts[c] if c < len(starts) else 0 for c in cuts[:-1]] + [len(data)]
+    return [(name, len(data), places[i], places[i + 1], cuts[i], cuts[i + 1] - cuts[i]) for i in range(len(cuts) - 1)]
+
+
+@pytest.mark.parametrize("group, fan", [(False, 2), (False, 64), (True, 3)])
+def test_ranges_of_a_file_are_walked_apart_and_agree_with_a_serial_walk(spark, folder, group, fan):
+    rng = random.Random(fan)
+    sides = 1 if group else 2
+
+    def events(n, most):
+        return [tuple([(rng.getrandbits(60), rng.random(), rng.randrange(500)) for _ in range(rng.randrange(most + 1))] for _ in "ab") for _ in range(n)]
+
+    files = {
+        "long": compact(events(900, 20), group),
+        "wide": compact(events(40, 255), group) + b"\xff",
+        "torn": compact(events(300, 40), group) + bytes([250, 250]) + b"xyz" * 900,
+        "zeros": bytes(30_001),
+        "same": bytes([1]) * 40_000,
+        "short": b"\x05",
+        "empty": b"",
+    }
+    for name, data in files.items():
+        write(folder, name, data)
+    found = split_index(spark, folder, events_per_split=70, group=group, range_bytes=1, fan=fan)
+    wanted = [r for name, data in files.items() if data for r in serial_index(f"{folder}/{name}", data, 70, sides)]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(wanted)
+    whole = split_index(spark, folder, events_per_split=70, group=group)
+    assert sorted(tuple(r) for r in whole.collect()) == sorted(wanted)
+
+
+@pytest.mark.parametrize("most", [1, 3, 10_000])
+def test_an_index_is_dealt_over_tasks_that_read_their_own_rows(spark, folder, most, monkeypatch):
+    data, index = os.path.join(folder, "data"), os.path.join(folder, "index")
+    os.mkdir(data)
+    for name in "abc":
+        write(data, f"{name}.ldat", compact(EVENTS * 4))
+    split_index(spark, data, events_per_split=3).write.parquet(index)
+    monkeypatch.setattr("hitframe.sources.compact.MOST_TASKS", most)
+    whole = CompactReader({"path": data, "index": index})
+    parts = whole.partitions()
+    assert sum(p.count for p in parts) == 21 and len(parts) == 21 or most < 21
+    assert sum(b.num_rows for p in parts for b in whole.read(p)) == 60
+    one = CompactReader({"path": f"{data}/b.ldat", "index": index})
+    assert sum(b.num_rows for p in one.partitions() for b in one.read(p)) == 20
+
+
 def test_stale_index_is_refused(spark, folder):
     data, index = os.path.join(folder, "data"), os.path.join(folder, "index")
     os.mkdir(data)
