@@ -61,6 +61,35 @@ def sort_by_time(
     return joined.select(*[number.alias(c) if c == "hit_idx" else F.col(c) for c in hits.columns])
 
 
+def number_by_time(hits: DataFrame, every: int = 4096, cuts: int = 2048) -> DataFrame:
+    """Renumber the hits of every side (from 0) by ascending time, keeping the old order among equal times.
+
+    A side may have any number of hits, all at one time too. Some hits, chosen by a hash of their key, are cuts (time and ``hit_idx``) of
+    their sides: one in ``every``, thinned to about ``cuts`` in all, so they can be broadcast and a part between two cuts is a small
+    part of all hits. Parts are numbered apart and shifted by the hits of their side before them. Cuts and shifts
+    depend on the data alone, so a task that runs again agrees with the others.
+    Rows of a side that have both time and ``hit_idx`` in common are numbered in any order.
+    """
+    place = F.struct("time", "hit_idx")
+    mark = F.xxhash64(*SIDE, "time", "hit_idx")
+    chosen = hits.where(F.pmod(mark, F.lit(every)) == 0).select(*SIDE, place.alias("_cut"), F.floor(mark / every).alias("_mark"))
+    thin = chosen.agg(F.greatest(F.ceil(F.count("*") / cuts), F.lit(1))).scalar()
+    kept = chosen.where(F.pmod("_mark", thin) == 0)
+    side_cuts = F.broadcast(kept.groupBy(*SIDE).agg(F.array_sort(F.collect_set("_cut")).alias("_cuts")))
+
+    part = F.size(F.filter("_cuts", lambda cut: cut <= place))
+    parted = hits.join(side_cuts, SIDE, "left").withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(part)).drop("_cuts")
+    w = Window.partitionBy(*SIDE, "_part").orderBy("time", "hit_idx")
+    numbered = parted.withColumn("_rank", F.row_number().over(w) - 1)
+
+    earlier = Window.partitionBy(*SIDE).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hits.join(side_cuts, SIDE).groupBy(*SIDE, part.alias("_part")).agg(F.count("*").alias("_n"))
+    shifts = counts.select(*SIDE, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    number = (F.col("_rank") + F.coalesce("_shift", F.lit(0))).cast("int")
+    joined = numbered.join(F.broadcast(shifts), [*SIDE, "_part"], "left")
+    return joined.select(*[number.alias(c) if c == "hit_idx" else F.col(c) for c in hits.columns])
+
+
 def _side_value(side: int, value: Column) -> Column:
     return F.when(F.col("side") == side, value)
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from hitframe.operators import lookups, timing
 from tests.helpers import by_event, hit, hits
@@ -72,6 +73,33 @@ def test_sliced_sort_of_overlong_sides_is_exact(spark, slices):
     assert {(r["event_id"], r["hit_idx"]): r["channel"] for r in sliced.collect()} == plain
 
 
+@pytest.mark.parametrize("every, cuts", [(1, 1), (1, 5000), (2, 7), (3, 1000), (4096, 2048)])
+def test_numbering_by_time_is_exact_for_bursts_and_any_size(spark, every, cuts):
+    rng = random.Random(every)
+    times = {0: lambda: BIG, 1: lambda: BIG + rng.randrange(40), 2: lambda: rng.getrandbits(60), 3: lambda: rng.choice([7, 7, 7, 9])}
+    rows = [hit(event=e, side=s, idx=i, time=times[e](), channel=i) for e in times for s, n in ((1, 400), (2, e)) for i in range(n)]
+    h = hits(spark, rng.sample(rows, len(rows)))
+    got = timing.number_by_time(h, every, cuts)
+    assert got.columns == h.columns
+    key = lambda r: (r["event_id"], r["side"], r["channel"])
+    plain = {key(r): r["hit_idx"] for r in timing.sort_by_time(h).collect()}
+    assert {key(r): r["hit_idx"] for r in got.collect()} == plain and len(plain) == len(rows)
+
+
+def test_numbering_starts_no_job_and_spreads_a_burst(spark):
+    h = hits(spark, [hit(idx=i, time=BIG, channel=i) for i in range(4000)])
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    out = timing.number_by_time(h, every=50)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum("hit_idx")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(parts) == 4 and max(r["n"] for r in parts) < 2200
+    assert sorted(r["hit_idx"] for r in out.collect()) == list(range(4000))
+
+
 def test_coincidence_window_is_strict(spark):
     h = hits(
         spark,

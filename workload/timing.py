@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hitframe.operators import timing
-from hitframe.session import written
 from workload.fixtures import hits_a, hits_b, with_views
 from workload.joins import SKEW_SQL, skew_table
 from workload.registry import query
@@ -92,7 +91,5 @@ def t04(spark, sf):
     ),
 )
 def t05(spark, sf):
-    h = hits_a(spark, sf)
-    overlong = written(timing.overlong_sides(h), "overlong-sides")
-    out = timing.sort_by_time(h, overlong, overlong.count())
+    out = timing.number_by_time(hits_a(spark, sf))
     return out.select("event_id", "side", "time", "channel", "energy", "hit_idx")
