@@ -7,6 +7,10 @@ If the input is already distributed by event (bucketed on ``event_id``) none of
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,11 +130,33 @@ def weight(power: float, energy: Column | None = None) -> Column:
     return base * base if power == 2 else F.pow(base, F.lit(float(power)))
 
 
-def centroid_sums(x_power: float, y_power: float, sum_rows_cols: bool) -> list[Column]:
+def _library_power(base: float, power: float) -> float:
+    try:
+        return math.pow(base, power)
+    except (OverflowError, ValueError):  # infinite, or not a number, as the C function has it
+        return float(np.power(base, power))
+
+
+def library_weights(hits: DataFrame, x_power: float, y_power: float) -> DataFrame:
+    """Hits with the centroid weights ``_px``, ``_py`` by the C library's ``pow``, which Python's ``**`` and SQL engines call.
+
+    Its last bit may differ from a product's, which decides where a position lies exactly on an edge.
+    """
+
+    def powered(power: float) -> Column:
+        raised = F.pandas_udf(lambda base: pd.Series([_library_power(b, power) for b in base], dtype="float64"), "double")
+        return weight(1) if power == 1 else F.when(F.col("energy").isNotNull(), raised(weight(1)))
+
+    return hits.select("*", powered(x_power).alias("_px"), powered(y_power).alias("_py"))
+
+
+def centroid_sums(
+    x_power: float, y_power: float, sum_rows_cols: bool, weights: tuple[Column, Column] | None = None
+) -> list[Column]:
     """Weighted sums of both axes; with row/column readout x uses time hits and y uses energy hits only."""
     use_x = F.col("is_time") if sum_rows_cols else F.lit(True)
     use_y = F.col("is_energy") if sum_rows_cols else F.lit(True)
-    wx, wy = weight(x_power), weight(y_power)
+    wx, wy = weights or (weight(x_power), weight(y_power))
     return [
         F.sum(F.when(use_x, wx * F.col("x"))).alias("_sx"),
         F.sum(F.when(use_x, wx)).alias("_wx"),
@@ -147,10 +173,17 @@ def _centroid_columns(zero: str) -> list[Column]:
 
 
 def centroid(
-    hits: DataFrame, x_power: float = 1, y_power: float = 2, sum_rows_cols: bool = False, zero: str = "null"
+    hits: DataFrame,
+    x_power: float = 1,
+    y_power: float = 2,
+    sum_rows_cols: bool = False,
+    zero: str = "null",
+    library_power: bool = False,
 ) -> DataFrame:
-    """Per event side: energy-weighted position over all hits."""
-    sums = hits.groupBy(*SIDE).agg(*centroid_sums(x_power, y_power, sum_rows_cols))
+    """Per event side: energy-weighted position over all hits; with ``library_power`` to the last bit, see ``library_weights``."""
+    weights = (F.col("_px"), F.col("_py")) if library_power else None
+    weighted = library_weights(hits, x_power, y_power) if library_power else hits
+    sums = weighted.groupBy(*SIDE).agg(*centroid_sums(x_power, y_power, sum_rows_cols, weights))
     return sums.select(*SIDE, *_centroid_columns(zero))
 
 

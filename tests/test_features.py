@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -49,6 +50,13 @@ def test_centroid_by_hand(spark):
     assert cy == pytest.approx((w[0] ** 2 * 2 + w[1] ** 2 * 6) / (w[0] ** 2 + w[1] ** 2))
 
 
+def test_centroid_on_an_edge_has_the_power_of_the_library(spark):
+    h = hits(spark, [hit(idx=0, energy=5, x=1.5, y=10.5), hit(idx=1, energy=5, x=1.5, y=1.5)])
+    w = math.pow(5 + features.WEIGHT_OFFSET, 2)
+    ((_, cy),) = by_side(features.centroid(h, library_power=True), "cx", "cy").values()
+    assert cy == (w * 10.5 + w * 1.5) / (w + w) != by_side(features.centroid(h), "cy")[(0, 1)][0]
+
+
 def test_row_column_centroid_without_one_type(spark):
     h = hits(spark, [hit(kind="time", energy=2, x=3)])
     assert by_side(features.centroid(h, sum_rows_cols=True), "cx", "cy") == {(0, 1): (3.0, None)}

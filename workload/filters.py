@@ -148,7 +148,7 @@ def f06(spark, sf):
     ),
 )
 def f07(spark, sf):
-    c = features.centroid(hits_a(spark, sf))
+    c = features.centroid(hits_a(spark, sf), library_power=True)
     inside = c.filter(filters.region_of_interest("cx", "cy", (5, 15), (6, 18)))
     return inside.select("event_id", "side", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
