@@ -14,4 +14,5 @@ from hitframe.maps.tables import (  # noqa: F401
     bounded_regions,
     module_ids,
     type_channels,
+    typed_module_ids,
 )

@@ -11,9 +11,19 @@ def type_channels(channel_map: DataFrame, kind: str) -> DataFrame:
     return channel_map.filter(F.col(f"is_{kind}")).select("channel")
 
 
-def module_ids(channel_map: DataFrame) -> DataFrame:
-    """Module number ``sm * 1000 + mm`` of every channel."""
-    return channel_map.select("channel", (F.col("sm") * 1000 + F.col("mm")).alias("mm_id"))
+def module_ids(channel_map: DataFrame, *others: str) -> DataFrame:
+    """Module number ``sm * 1000 + mm`` of every channel, beside any ``others`` of its columns."""
+    return channel_map.select("channel", (F.col("sm") * 1000 + F.col("mm")).alias("mm_id"), *others)
+
+
+def typed_module_ids(channel_map: DataFrame) -> DataFrame:
+    """Module number of every channel with its type, ``energy`` or ``time``; a channel of both types has two rows.
+
+    The types of an entry stand beside it, so the map is read once and neither joined nor moved.
+    """
+    kinds = F.array(*[F.when(F.col(f"is_{kind}"), F.lit(kind)) for kind in ("energy", "time")])
+    typed = channel_map.select("channel", "sm", "mm", F.explode(F.array_compact(kinds)).alias("kind"))
+    return module_ids(typed, "kind")
 
 
 def bounded_regions(region_map: DataFrame, max_region: int) -> DataFrame:

@@ -12,6 +12,8 @@ from hitframe import maps
 from hitframe.functions import electronics
 from hitframe.maps.channel_map import Layout
 from hitframe.maps.config import validated
+from tests.conftest import SF
+from workload import QUERIES
 
 
 def description(**changes):
@@ -133,3 +135,17 @@ def test_listing(spark):
     built = maps.configured_channel_map(spark, validated(description()))
     listed = maps.channel_listing(built).collect()
     assert len(listed) == 8 and all(r["n_channels"] == 64 for r in listed)
+
+
+def test_types_of_an_entry_are_its_own(spark):
+    fields = "channel int, sm int, mm int, is_time boolean, is_energy boolean"
+    entries = [(1, 0, 0, True, False), (1, 2, 3, False, True), (2, 0, 1, True, True), (3, 0, 1, False, False)]
+    typed = maps.typed_module_ids(spark.createDataFrame(entries, fields))
+    wanted = {(1, 0, "time"), (1, 2003, "energy"), (2, 1, "energy"), (2, 1, "time")}
+    assert sorted(map(tuple, typed.collect())) == sorted(wanted)
+
+
+def test_lookup_tables_join_nothing(spark, capsys):
+    QUERIES["m11_lookup_tables"](spark, SF).explain()
+    plan = capsys.readouterr().out
+    assert "Generate" in plan and "Join" not in plan and "Exchange" not in plan

@@ -199,13 +199,7 @@ def m10(spark, sf):
          UNION ALL SELECT channel, sm * 1000 + mm, 'time' FROM cm WHERE is_time""",
 )
 def m11(spark, sf):
-    cm = sums_map(spark, sf)
-    ids = maps.module_ids(cm)
-    typed = [
-        ids.join(maps.type_channels(cm, kind), "channel", "left_semi").withColumn("kind", F.lit(kind))
-        for kind in ("energy", "time")
-    ]
-    return typed[0].unionByName(typed[1]).select("channel", "mm_id", "kind")
+    return maps.typed_module_ids(sums_map(spark, sf))
 
 
 @query(
