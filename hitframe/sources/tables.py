@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PAIR_BYTES = 8
+#: Pairs of a category file that are cut at a time.
+BLOCK_PAIRS = 1 << 14
+
 
 def read_skew(spark: SparkSession, path: str) -> DataFrame:
     """Whitespace-separated ``channel skew`` without header."""
@@ -48,19 +52,24 @@ def _keyed(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_slab_categories(spark: SparkSession, path: str) -> DataFrame:
-    """Flat binary pairs of little-endian 32-bit integers: slab id, category.
+    """Flat binary pairs of little-endian 32-bit integers: slab id, category; an incomplete last pair is left out.
 
-    ``hex`` of the content is cut into pairs of eight-digit words; a category file has one pair per slab.
+    The content is cut into blocks, blocks into pairs, both as bytes: a cut at any place costs the same, and only one
+    block's pairs are in memory.
     """
     word = lambda text, at: F.conv(
         F.concat(*[F.substring(text, at + 2 * k, 2) for k in (3, 2, 1, 0)]), 16, 10
     ).cast("bigint")
     signed = lambda v: F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v).cast("int")
-    files = spark.read.format("binaryFile").load(path).select(F.hex("content").alias("text"))
-    count = F.floor(F.length("text") / 16).cast("int")
-    pairs = F.transform(
-        F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.substr("text", i * 16 + 1, F.lit(16)),
-    )
-    rows = files.select(F.explode(pairs).alias("pair"))
-    return rows.select(signed(word(F.col("pair"), 1)).alias("slab_id"), signed(word(F.col("pair"), 9)).alias("category"))
+    content = spark.read.format("binaryFile").load(path).select("content")
+    blocks = content.select(F.explode(_pieces("content", BLOCK_PAIRS * PAIR_BYTES, partial=True)).alias("block"))
+    pairs = blocks.select(F.explode(_pieces("block", PAIR_BYTES)).alias("pair")).select(F.hex("pair").alias("pair"))
+    return pairs.select(signed(word(F.col("pair"), 1)).alias("slab_id"), signed(word(F.col("pair"), 9)).alias("category"))
+
+
+def _pieces(column: str, size: int, partial: bool = False) -> Column:
+    """Array of consecutive pieces of ``size`` bytes; ``partial`` keeps a shorter last one."""
+    ends = F.length(column) + F.lit(size - 1 if partial else 0)
+    count = F.floor(ends / size).cast("int")
+    starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.substr(column, i * size + 1, F.lit(size)))

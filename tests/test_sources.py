@@ -3,11 +3,13 @@ from __future__ import annotations
 import os
 import random
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from hitframe import sources
+from hitframe.sources import tables
 from hitframe.sources.compact import CompactReader
 from hitframe.sources.decode import file_number
 from hitframe.sources.events import position_of, to_hits
@@ -291,3 +293,15 @@ def test_events_keep_their_number_beside_other_files(spark, folder):
     after = read(spark, "fixed_events", folder)
     assert {r["file_id"] for r in after.filter("file_name = 'b.ldat'").collect()} == before
     assert after.select("file_id").distinct().count() == 2
+
+
+def test_large_category_file_takes_linear_time(spark, folder):
+    pairs = [(i - 50_000, -i) for i in range(100_000)]
+    data = b"".join(struct.pack("<ii", *p) for p in pairs)
+    for name, content in (("a.bin", data + b"\x01" * 7), ("b.bin", b""), ("c.bin", b"\x01" * 7), ("d.bin", data[:8])):
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(content)
+    start = time.monotonic()
+    got = [tuple(r) for r in tables.read_slab_categories(spark, folder).collect()]
+    assert time.monotonic() - start < 60  # cuts of a text took minutes, each from its start
+    assert sorted(got) == sorted([*pairs, pairs[0]])
