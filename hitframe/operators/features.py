@@ -263,12 +263,18 @@ def impact_matrix(cells: DataFrame, side: int = 8) -> DataFrame:
         F.when(inside, True).otherwise(F.raise_error(F.lit("hit outside the impact matrix")).cast("boolean"))
     )
 
-    def cell(r: int, c: int) -> Column:
-        here = (F.col("row") == r) & (F.col("col") == c)
-        return F.coalesce(F.max(F.when(here, F.col("energy"))), F.lit(0.0))
+    # A side's cells, at most one per place, are listed and laid out afterwards: a group costs what it has, not a whole matrix.
+    entry = F.struct((F.col("row") * side + F.col("col")).alias("place"), F.col("energy").alias("energy"))
+    listed = checked.groupBy(*SIDE).agg(F.collect_list(entry).alias("_cells"))
 
-    rows = [F.array(*[cell(r, c) for c in range(side)]) for r in range(side)]
-    return checked.groupBy(*SIDE).agg(F.array(*rows).alias("matrix"))
+    def cell(place: Column) -> Column:
+        here = F.filter("_cells", lambda e: e["place"] == place)
+        return F.coalesce(F.array_max(F.transform(here, lambda e: e["energy"])), F.lit(0.0))
+
+    def row(r: Column) -> Column:
+        return F.transform(F.sequence(r * side, r * side + (side - 1)), cell)
+
+    return listed.select(*SIDE, F.transform(F.sequence(F.lit(0), F.lit(side - 1)), row).alias("matrix"))
 
 
 def impact_profile(cells: DataFrame, events: DataFrame | None = None, n: int = 64) -> DataFrame:

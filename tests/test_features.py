@@ -244,3 +244,13 @@ def test_row_column_channel_minimum_needs_another_type(spark):
     counts = filters.side_counts(h)
     passed = filters.enough_channels(F.col("n_energy"), F.col("n_hits"), 1, True)
     assert by_side(counts.withColumn("p", passed), "p") == {(0, 1): (False,), (1, 1): (True,)}
+
+
+def test_impact_matrix_keeps_the_cells_of_a_side_only(spark, capsys):
+    h = hits(spark, [hit(idx=0, energy=5, x=0.5, y=0.5), hit(idx=1, energy=7, x=23.5, y=23.5), hit(side=2, energy=2, x=3.5, y=0.5)])
+    dense = features.impact_matrix(features.impact_cells(h, 3.0))
+    dense.explain()
+    plan = capsys.readouterr().out
+    assert "collect_list" in plan and plan.count("max(CASE") == 0  # not one aggregate for each of 64 places
+    filled = {(s, r, c): v for (_, s), (m,) in by_side(dense, "matrix").items() for r, row in enumerate(m) for c, v in enumerate(row) if v}
+    assert filled == {(1, 0, 0): 5.0, (1, 7, 7): 7.0, (2, 0, 1): 2.0}
