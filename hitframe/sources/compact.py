@@ -20,7 +20,8 @@ from hitframe.sources.decode import HIT_DTYPE, MODES, base_name, event_batch, fi
 from hitframe.sources.fixed import cleaned
 
 HIT_BYTES = HIT_DTYPE.itemsize
-READ_BYTES = 8 << 20
+#: Bytes that a task decodes at a time; what it holds is about ten times that.
+READ_BYTES = 1 << 20
 #: Tasks over which the splits of an index are dealt.
 MOST_TASKS = 10_000
 

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from hitframe import sources
 from hitframe.sources import tables
-from hitframe.sources.compact import CompactReader
+from hitframe.sources.compact import CompactReader, decode_bytes
 from hitframe.sources.decode import file_number
 from hitframe.sources.events import position_of, to_hits
 from hitframe.sources.split_index import split_index
 from hitframe.streaming.ingest import append_to_table, landing_events
+from workload import event_files
 
 EVENTS = [
     ([(1, 1.5, 10), (2, 2.5, 11)], [(3, 0.5, 20)]),
@@ -305,3 +306,20 @@ def test_large_category_file_takes_linear_time(spark, folder):
     got = [tuple(r) for r in tables.read_slab_categories(spark, folder).collect()]
     assert time.monotonic() - start < 60  # cuts of a text took minutes, each from its start
     assert sorted(got) == sorted([*pairs, pairs[0]])
+
+
+def test_files_grow_in_number_and_only_the_torn_ones_get_the_tail(spark, folder, monkeypatch):
+    monkeypatch.setattr(event_files, "FILE_HITS", 10)
+    rows = [(e, side, 0, e, 1.0, 5) for e in range(50) for side in (1, 2)]
+    h = spark.createDataFrame(rows, "event_id long, side int, hit_idx long, time long, energy double, channel int")
+    event_files.write_event_files(h, f"{folder}/torn", "compact", tail=b"\x01", torn=2)
+    data = [open(f"{folder}/torn/{n}", "rb").read() for n in sorted(os.listdir(f"{folder}/torn")) if not n.startswith(("_", "."))]
+    assert len(data) == 10 and sum(len(d) % 34 == 1 for d in data) == 2 and sum(len(d) // 34 for d in data) == 50
+
+
+def test_compact_files_are_decoded_in_small_pieces(folder):
+    event = bytes([1, 1]) + packed([(1, 1.5, 10), (2, 2.5, 11)])
+    with open(f"{folder}/a.ldat", "wb") as f:
+        f.write(event * 150_000)
+    sizes = [b.num_rows for b in decode_bytes(f"{folder}/a.ldat", 0, 0, len(event) * 150_000, 0, 2, None, "permissive")]
+    assert sum(sizes) == 150_000 and max(sizes) <= 40_000

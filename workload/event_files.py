@@ -102,6 +102,8 @@ def _fixed(side, hits, starts, group: bool, hit_limit: int) -> bytes:
 
 #: Parts into which the events of one value are dealt.
 SALTS = 16
+#: Hits of a file where a least number of files is asked for.
+FILE_HITS = 1 << 20
 
 
 def write_event_files(
@@ -112,11 +114,12 @@ def write_event_files(
     hit_limit: int | None = None,
     tail: bytes = b"",
     by: str | None = None,
-    files: int | None = None,
+    torn: int | None = None,
 ) -> None:
-    """Write events as files; ``tail`` is appended to each. With ``by`` a file holds one value of that column and the
+    """Write events as files; ``tail`` is appended to each, or to ``torn`` of them. With ``by`` a file holds one value of that column and the
     value is part of its name; events of one value are dealt over several files. Without ``hit_limit`` fixed records are as long as the longest
-    event side needs. The number of files is that of the shuffle's partitions, which adaptive execution takes from the size, or ``files``."""
+    event side needs. The number of files is that of the shuffle's partitions, which adaptive execution takes from the size; with ``torn`` there
+    are that many at least, and one for every ``FILE_HITS`` hits."""
     make_folder(path)
     if layout == "fixed" and hit_limit is None:
         side = ["event_id"] if group else ["event_id", "side"]
@@ -124,7 +127,8 @@ def write_event_files(
     keys = ["event_id"] if by is None else [by, "event_id"]
     placed = hits.select(*keys, "side", "hit_idx", "time", "energy", "channel")
     dealt = ["event_id"] if by is None else [by, F.pmod(F.xxhash64("event_id"), F.lit(SALTS))]
-    spread = placed.repartition(*([files] if files else []), *dealt).sortWithinPartitions(*keys, "side", "hit_idx").drop("hit_idx")
+    files = [] if torn is None else [max(torn, -(-placed.count() // FILE_HITS))]
+    spread = placed.repartition(*files, *dealt).sortWithinPartitions(*keys, "side", "hit_idx").drop("hit_idx")
 
     def encode(side, h, starts) -> bytes:
         return _compact(side, h, starts, group) if layout == "compact" else _fixed(side, h, starts, group, hit_limit)
@@ -138,7 +142,8 @@ def write_event_files(
                     f.write(struct.pack("<i", hit_limit))
                 for events in _whole_events(part):
                     f.write(encode(*events))
-                f.write(tail)
+                if torn is None or part_id < torn:
+                    f.write(tail)
             yield pa.RecordBatch.from_pydict({"name": [name]})
 
     spread.mapInArrow(write, "name string").count()

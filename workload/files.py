@@ -134,7 +134,7 @@ def s07(spark, sf):
     ),
 )
 def s07_reported(spark, sf):
-    path = written(spark, sf, "compact", tail=b"\x02\x01" + b"\x00" * 20, files=4)  # the torn end of each file is counted
+    path = written(spark, sf, "compact", tail=b"\x02\x01" + b"\x00" * 20, torn=4)  # four torn ends are counted
     events = spark.read.format("compact_events").load(path)
     return events.groupBy("corrupt").agg(F.count("*").alias("n_events"))
 
