@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an output batch; a batch is also closed at about this many characters of its strings and bytes.
-OUT_ROWS, OUT_CHARS = 4096, 8 << 20
+#: Rows of an output batch; a batch is also closed at about this many characters of its strings and bytes of its arrays.
+OUT_ROWS, OUT_CHARS = 4096, 2 << 20
 
 
 #: Rows of a batch that goes to Python where rows are long texts.
@@ -43,7 +45,16 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 
 def weight(row: tuple) -> int:
-    return sum(len(v) for v in row if isinstance(v, (str, bytes)))
+    return sum(v.nbytes if isinstance(v, np.ndarray) else len(v) for v in row if isinstance(v, (str, bytes, np.ndarray)))
+
+
+def give_back() -> None:
+    """Free memory of a Python worker back to the system when a task ends: idle workers stay beside later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only the GNU library has it
+        pass
 
 
 def batches_of(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -73,6 +84,7 @@ def map_partition(df: DataFrame, make: Callable[[Iterator[tuple]], Iterator[tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in rows_of(batch))
         yield from batches_of(make(rows), schema)
+        give_back()
 
     return df.mapInArrow(run, ddl)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, MapType, StringType
 
-from hitframe.llm.common import arrow_schema
+from hitframe.llm.common import arrow_schema, give_back
 
 UNKNOWN = "und"
 #: Hash cells of the n-grams, and n-gram lengths in bytes.
@@ -79,6 +79,7 @@ def fit(labelled: DataFrame, cells: int = CELLS, smoothing: float = 0.5) -> Lang
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     held = sums.setdefault(lang, np.zeros(cells, np.float64))
                     held += counts_of(text, cells)
+        give_back()
         for lang, held in sums.items():
             used = np.flatnonzero(held)
             yield pa.RecordBatch.from_arrays(
@@ -182,5 +183,6 @@ def language(model: LanguageModel, text: str = "text", docs_at_once: int = 64) -
                         found[i] = languages[int(share.argmax())]
                 names += found
             yield pa.array(names, pa.string())
+        give_back()
 
     return F.arrow_udf(predict, "string", F.ArrowUDFType.SCALAR_ITER)(F.when(F.col(text).rlike(r"\p{L}"), F.col(text)))

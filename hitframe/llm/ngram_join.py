@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from hitframe.llm.common import arrow_schema, map_partition, small_batches
+from hitframe.llm.common import arrow_schema, give_back, map_partition, small_batches
 from hitframe.llm.components import components
 from hitframe.llm.shingles import fingerprint, parity_sketch, shingle_set, similar, sketch_keys
 from hitframe.session import written
@@ -113,6 +113,7 @@ def met_in_groups(keyed: DataFrame, small: int = SMALL) -> DataFrame:
             out = []
             close(out, tail_key, tail)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+        give_back()
 
     return keyed.select("key", "set_id").repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(join, PAIR_DDL)
 

@@ -18,10 +18,15 @@ from hitframe.session import scratch_path
 BATCH_BYTES = 1 << 30
 #: Up to so many hit keys (8 bytes each) are broadcast to filter the texts; beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-#: State in RocksDB; it shall not reserve megabytes of disk for each of many small stores.
+#: State in RocksDB; it shall not reserve megabytes of disk for each of many small stores. The stores of an executor share one
+#: bounded cache, and are closed soon after the stream has ended, not a minute later beside the next stage.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
 
 

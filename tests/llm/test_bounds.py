@@ -6,7 +6,9 @@ import random
 import re
 import time
 
-from hitframe.llm import secret_scan, template_html, toxicity
+import numpy as np
+
+from hitframe.llm import common, secret_scan, template_html, toxicity
 from tests.llm.test_whole_job import texts
 
 PAGE = "<html><body><nav>menu</nav><article><h1>{}</h1><p>{}</p><p>{}</p><p>{}</p></article><footer>foot</footer></body></html>"
@@ -84,3 +86,9 @@ def test_a_text_of_very_many_matches(spark):
     assert secret_scan.scan(docs).first()["n_hex"] == 100_000
     assert secret_scan.redacted(docs).first()["text"] == "[secret] and words " * 100_000
     assert time.monotonic() - begin < 120
+
+
+def test_batches_are_closed_by_the_bytes_of_arrays_too():
+    rows = ((np.zeros(1 << 14, np.int64),) for _ in range(64))  # 8 MB in 64 rows
+    batches = list(common.batches_of(rows, common.arrow_schema("codes array<long>")))
+    assert sum(b.num_rows for b in batches) == 64 and len(batches) >= 4
