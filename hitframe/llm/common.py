@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -16,16 +17,23 @@ from pyspark.sql import functions as F
 OUT_ROWS, OUT_CHARS = 4096, 2 << 20
 
 
-#: Rows of a batch that goes to Python where rows are long texts.
-TEXT_ROWS = 1000
+#: Rows of a batch that goes to Python where rows are long texts, bytes at which it is closed before that, and rows that are read from a file at a time.
+TEXT_ROWS, TEXT_BYTES, READ_ROWS = 1000, 2 << 20, 512
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": TEXT_ROWS,
+    "spark.sql.execution.arrow.maxBytesPerBatch": TEXT_BYTES,
+    "spark.sql.parquet.columnarReaderBatchSize": READ_ROWS,
+}
+#: Writer options of tables whose rows are megabytes: pages and row groups are measured after every row, not after a hundred.
+LARGE_ROWS = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """At most ``TEXT_ROWS`` rows in a batch for Python from now on: a task's batches of texts, and what the allocators keep of them, stay small."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > TEXT_ROWS:
-        spark.conf.set(name, str(TEXT_ROWS))
+    """Batches of at most ``BATCHES`` from now on: a task's batches of texts, and what the allocators keep of them, stay small."""
+    for name, most in BATCHES.items():
+        now = int(re.match(r"-?\d+", spark.conf.get(name))[0])
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
 
 
 def per_worker(key, make: Callable):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from hitframe.llm.common import arrow_schema, give_back, map_partition, small_batches
+from hitframe.llm.common import LARGE_ROWS, arrow_schema, give_back, map_partition, small_batches
 from hitframe.llm.components import components
 from hitframe.llm.shingles import fingerprint, parity_sketch, shingle_set, similar, sketch_keys
 from hitframe.session import written
@@ -248,7 +248,7 @@ class Links:
         after = sizes.select("key", (F.col("band") - 1).alias("band"), F.col("lanes").alias("lanes_after"))
         placed = rows.join(sizes, ["key", "band"]).join(after, ["key", "band"], "left")
         placed = placed.withColumn("lane", F.pmod(F.xxhash64("set_id"), F.col("lanes"))).select(*PLACE, "set_id", "comp", "codes")
-        return written(map_partition(placed.repartition("key", "band", "lane").sortWithinPartitions(*PLACE), pack_blocks, BLOCK_DDL), "blocks")
+        return written(map_partition(placed.repartition("key", "band", "lane").sortWithinPartitions(*PLACE), pack_blocks, BLOCK_DDL), "blocks", **LARGE_ROWS)
 
 
 def different_groups(members: DataFrame) -> DataFrame:

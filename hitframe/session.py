@@ -40,8 +40,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table to the shared folder once and read it back, for results that are used repeatedly."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write an intermediate table to the shared folder once and read it back, for results that are used repeatedly. ``options`` are the writer's."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -7,8 +7,11 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
-from hitframe.llm import common, secret_scan, template_html, toxicity
+from hitframe.llm import common, ngram_join, secret_scan, template_html, toxicity
 from tests.llm.test_whole_job import texts
 
 PAGE = "<html><body><nav>menu</nav><article><h1>{}</h1><p>{}</p><p>{}</p><p>{}</p></article><footer>foot</footer></body></html>"
@@ -92,3 +95,29 @@ def test_batches_are_closed_by_the_bytes_of_arrays_too():
     rows = ((np.zeros(1 << 14, np.int64),) for _ in range(64))  # 8 MB in 64 rows
     batches = list(common.batches_of(rows, common.arrow_schema("codes array<long>")))
     assert sum(b.num_rows for b in batches) == 64 and len(batches) >= 4
+
+
+def test_batches_of_long_texts_are_closed_by_their_bytes(spark):
+    common.small_batches(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    got = spark.range(0, 48, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text")).mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r["n"] for r in got) == 48 and max(r["bytes"] for r in got) <= 4 << 20
+
+
+def test_blocks_of_open_groups_are_read_by_a_few_megabytes(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_CODES", 1 << 14)
+    docs = spark.createDataFrame([(i, " ".join(f"t{i}w{k}" for k in range(20_000))) for i in range(60)], "doc_id long, text string")
+    sets = ngram_join.sketches(docs).withColumn("key", F.lit(1).cast("long"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        blocks = ngram_join.Links(docs, sets.drop("key")).blocks(sets.select("key", "set_id"), docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+    groups = [m.row_group(k).total_byte_size for m in files for k in range(m.num_row_groups)]
+    assert sum(groups) > 60 * 20_000 * 8 * 0.99 and max(groups) < 6 << 20
