@@ -7,19 +7,21 @@ Digests that more than one row has are hits: for these the full texts are compar
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hitframe.session import scratch_path
+from hitframe.session import scratch_path, written
 
 #: Log bytes of a micro-batch.
 BATCH_BYTES = 1 << 30
 #: Up to so many hit keys (8 bytes each) are broadcast to filter the texts; beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 #: State in RocksDB; it shall not reserve megabytes of disk for each of many small stores. The stores of an executor share one
-#: bounded cache, and are closed soon after the stream has ended, not a minute later beside the next stage.
+#: bounded cache, and are closed soon after the stream has ended, not a minute later beside the next stage. Reading the state opens
+#: a store for each partition too, so it needs the same settings as writing it.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
@@ -38,27 +40,34 @@ def sha256(value: Column) -> Column:
     return F.sha2(value, 256)
 
 
-def keep_state(log: DataFrame, checkpoint: str) -> None:
-    """Feed a streaming ``log`` (row, doc_id, digest, file) to the state below ``checkpoint``; a later call goes on from there."""
-    spark = log.sparkSession
+@contextmanager
+def bounded_stores(spark: SparkSession) -> Iterator[None]:
+    """State stores that are opened inside have ``SETTINGS``."""
     before = {k: spark.conf.get(k, None) for k in SETTINGS}
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "file")  # null ids come last
-    state = log.groupBy("digest").agg(F.min(first).alias("first"), F.count("*").alias("n"))
     for k, v in SETTINGS.items():
         spark.conf.set(k, v)
     try:
-        sink = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
-        sink.trigger(availableNow=True).start().awaitTermination()
+        yield
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def keep_state(log: DataFrame, checkpoint: str) -> None:
+    """Feed a streaming ``log`` (row, doc_id, digest, file) to the state below ``checkpoint``; a later call goes on from there."""
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "file")  # null ids come last
+    state = log.groupBy("digest").agg(F.min(first).alias("first"), F.count("*").alias("n"))
+    with bounded_stores(log.sparkSession):
+        sink = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
+        sink.trigger(availableNow=True).start().awaitTermination()
+
+
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """digest, ``first`` (the row that stays), ``n`` (rows so far)."""
-    state = spark.read.format("statestore").load(checkpoint)
-    first, n = state.schema["value"].dataType.fieldNames()
-    return state.select("key.digest", F.col("value")[first].alias("first"), F.col("value")[n].alias("n"))
+    """digest, ``first`` (the row that stays), ``n`` (rows so far). The stores are opened once: the rows are written as a table."""
+    with bounded_stores(spark):
+        state = spark.read.format("statestore").load(checkpoint)
+        first, n = state.schema["value"].dataType.fieldNames()
+        return written(state.select("key.digest", F.col("value")[first].alias("first"), F.col("value")[n].alias("n")), "kept")
 
 
 def arrivals(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:

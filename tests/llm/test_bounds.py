@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from hitframe.llm import common, ngram_join, secret_scan, template_html, toxicity
+from hitframe.llm import common, ngram_join, secret_scan, stream_dedup, template_html, toxicity
 from tests.llm.test_whole_job import texts
 
 PAGE = "<html><body><nav>menu</nav><article><h1>{}</h1><p>{}</p><p>{}</p><p>{}</p></article><footer>foot</footer></body></html>"
@@ -121,3 +121,20 @@ def test_blocks_of_open_groups_are_read_by_a_few_megabytes(spark, monkeypatch):
     files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
     groups = [m.row_group(k).total_byte_size for m in files for k in range(m.num_row_groups)]
     assert sum(groups) > 60 * 20_000 * 8 * 0.99 and max(groups) < 6 << 20
+
+
+def test_state_stores_are_opened_for_reading_once_and_with_bounded_memory(spark, monkeypatch):
+    seen, write = [], stream_dedup.written
+
+    def spy(df, name, **options):
+        if "batchscan" in df._jdf.queryExecution().toString().lower():
+            seen.append({k: spark.conf.get(k, None) for k in stream_dedup.SETTINGS})
+        return write(df, name, **options)
+
+    monkeypatch.setattr(stream_dedup, "written", spy)
+    before = {k: spark.conf.get(k, None) for k in stream_dedup.SETTINGS}
+    docs = spark.createDataFrame([(1, "a b"), (2, "a  b"), (3, "c"), (4, None)], "doc_id long, text string")
+    for got, n in ((stream_dedup.exact_duplicates(docs), 4), (stream_dedup.without_duplicates(docs), 3)):
+        assert "batchscan" not in got._jdf.queryExecution().toString().lower() and got.count() == n
+    assert seen == [stream_dedup.SETTINGS] * 2
+    assert before == {k: spark.conf.get(k, None) for k in stream_dedup.SETTINGS}
