@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitframe.llm.common import arrow_schema, map_partition
+from hitframe.llm.common import LARGE_ROWS, arrow_schema, map_partition, small_batches
 from hitframe.llm.shingles import STEP, mixed
 from hitframe.llm.spans import PAD, InternTable, lowered, runs, text_bytes
 from hitframe.session import written
@@ -31,6 +31,8 @@ DEPTH, LEAST, TOP = 5, 100, 2000
 SHARD_BYTES, HELD_BYTES, PARTS = 3 << 20, 12 << 20, 64
 #: Keys of words and pairs that one group of a sum over the shards has at most, on average.
 BUCKET_KEYS = 1 << 21
+#: Shards, and buckets of a sum, that a task gets on average: what it sorts does not grow with the texts.
+TASK_SHARDS, TASK_BUCKETS = 4, 2
 UNKNOWN = "und"
 
 #: Bytes that end a piece, and bytes between words of a piece (fixed values).
@@ -41,6 +43,15 @@ BLANK[[0x20, 0x09]] = True
 SHARD_DDL = "shard long, lang string, n_words long, words binary, bwt binary"
 
 
+def packed(data: bytes) -> bytes:
+    """By zstandard, behind the length: a shard's row passes through the JVM several times."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def suffix_array(tokens: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of word ids in their order. A 0 is a separator; each is a symbol of its own, smaller than any word, so suffixes differ
     at their piece's end at the latest.
@@ -107,8 +118,8 @@ def chunks(raw: np.ndarray, size: int = SHARD_BYTES) -> Iterator[np.ndarray]:
 
 
 def shards(docs: DataFrame, size: int = SHARD_BYTES, held_bytes: int = HELD_BYTES) -> DataFrame:
-    """The index of every shard: shard, lang, n_words, words (in the order of their ids, one space between), bwt (32-bit ids). Write it before use:
-    a shard's number and rows are those of one evaluation."""
+    """The index of every shard: shard, lang, n_words, words (in the order of their ids, one space between), bwt (32-bit ids), both
+    ``packed``. Write it before use: a shard's number and rows are those of one evaluation."""
     schema = arrow_schema(SHARD_DDL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +132,7 @@ def shards(docs: DataFrame, size: int = SHARD_BYTES, held_bytes: int = HELD_BYTE
             n, words, bwt = index_of(held.pop(lang))
             del sizes[lang]
             number += 1
-            row = (number, lang, n, b" ".join(words), bwt.astype("<i4").tobytes())
+            row = (number, lang, n, packed(b" ".join(words)), packed(bwt.astype("<i4").tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types)], schema=schema)
 
         for batch in batches:
@@ -196,8 +207,8 @@ class Listing:
 
     def __init__(self, index: tuple, buckets: int, alive: list[tuple] | None = None, depth: int = 2):
         _, self.lang, words, bwt = index
-        self.words = words.split(b" ")
-        self.intervals, live = Intervals(bwt), {}
+        self.words = unpacked(words).split(b" ")
+        self.intervals, live = Intervals(unpacked(bwt)), {}
         if alive is not None:
             short = Listing(index, buckets)
             for d in (1, 2):
@@ -250,13 +261,13 @@ def short_counts(indexes: DataFrame, buckets: int) -> DataFrame:
 
     def make(rows):
         for index in rows:
-            if index[2]:
+            if unpacked(index[2]):
                 yield from Listing(index, buckets).rows(index[0], False)
 
     return map_partition(indexes.select("shard", "lang", "words", "bwt"), make, PACKED_DDL)
 
 
-def summed(counts: DataFrame, least: int, one_of_each: bool) -> DataFrame:
+def summed(counts: DataFrame, buckets: int, least: int, one_of_each: bool) -> DataFrame:
     """shard, bucket, which: the places, in a shard's list of a bucket, of the keys whose counts in all shards add up to ``least`` (f: the sums).
 
     With ``one_of_each`` every key is named in one of its shards only.
@@ -287,10 +298,11 @@ def summed(counts: DataFrame, least: int, one_of_each: bool) -> DataFrame:
         which = [w.tobytes() for w in which]
         return pa.Table.from_arrays([rows["shard"], rows["bucket"], pa.array(which, pa.binary()), pa.array(f, pa.binary())], schema=schema)
 
-    return counts.groupBy("bucket").applyInArrow(run, ALIVE_DDL).where(F.length("which") > 0)
+    dealt = counts.repartition(1 + buckets // TASK_BUCKETS, "bucket")
+    return dealt.groupBy("bucket").applyInArrow(run, ALIVE_DDL).where(F.length("which") > 0)
 
 
-def in_shards(indexes: DataFrame, named: DataFrame, make, ddl: str) -> DataFrame:
+def in_shards(indexes: DataFrame, named: DataFrame, tasks: int, make, ddl: str) -> DataFrame:
     """Rows of ``make(index, rows of named)`` for every shard that ``named`` has rows of."""
     schema = arrow_schema(ddl)
 
@@ -300,19 +312,20 @@ def in_shards(indexes: DataFrame, named: DataFrame, make, ddl: str) -> DataFrame
         found = list(make(tuple(index[c][0].as_py() for c in ("shard", "lang", "words", "bwt")), rows.to_pylist()))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), schema.types)], schema=schema) if found else schema.empty_table()
 
-    return indexes.select("shard", "lang", "words", "bwt").groupBy("shard").cogroup(named.groupBy("shard")).applyInArrow(run, ddl)
+    dealt = indexes.select("shard", "lang", "words", "bwt").repartition(tasks, "shard")
+    return dealt.groupBy("shard").cogroup(named.repartition(tasks, "shard").groupBy("shard")).applyInArrow(run, ddl)
 
 
-def long_counts(indexes: DataFrame, alive: DataFrame, buckets: int, depth: int) -> DataFrame:
+def long_counts(indexes: DataFrame, alive: DataFrame, tasks: int, buckets: int, depth: int) -> DataFrame:
     """The words and pairs that are ``alive`` in every shard, and all longer phrases of such pairs, with 96-bit keys."""
 
     def make(index, rows):
         return Listing(index, buckets, [(r["bucket"], r["which"]) for r in rows], depth).rows(index[0], True)
 
-    return in_shards(indexes, alive, make, PACKED_DDL)
+    return in_shards(indexes, alive, tasks, make, PACKED_DDL)
 
 
-def spelled(indexes: DataFrame, alive: DataFrame, found: DataFrame, buckets: int, depth: int) -> DataFrame:
+def spelled(indexes: DataFrame, alive: DataFrame, found: DataFrame, tasks: int, buckets: int, depth: int) -> DataFrame:
     """lang, phrase, f of the keys that ``found`` names, by the shards that hold them."""
 
     def make(index, rows):
@@ -324,20 +337,20 @@ def spelled(indexes: DataFrame, alive: DataFrame, found: DataFrame, buckets: int
                     yield listing.lang, phrase.decode("utf-8"), f
 
     both = alive.withColumn("f", F.lit(None).cast("binary")).unionByName(found)
-    return in_shards(indexes, both, make, "lang string, phrase string, f long")
+    return in_shards(indexes, both, tasks, make, "lang string, phrase string, f long")
 
 
 def frequent(indexes: DataFrame, least: int = LEAST, depth: int = DEPTH) -> DataFrame:
     """lang, phrase, f of all phrases of 1 to ``depth`` words that are found ``least`` times or more; ``indexes`` is a written table of ``shards``.
 
-    The number of buckets grows with the words, so that a bucket has at most about ``BUCKET_KEYS`` keys of words and pairs. Phrases are told apart by 96-bit
-    hashes of their words.
+    The number of buckets grows with the words, so that a bucket has at most about ``BUCKET_KEYS`` keys of words and pairs; the numbers of tasks grow with
+    buckets and shards, whatever the number of shuffle partitions. Phrases are told apart by 96-bit hashes of their words.
     """
-    words = indexes.agg(F.sum("n_words")).first()[0] or 0
-    buckets = 1 + 2 * words // BUCKET_KEYS
-    alive = written(summed(short_counts(indexes, buckets), least, False), "alive")
-    found = written(summed(long_counts(indexes, alive, buckets, depth), least, True), "found")
-    return written(spelled(indexes, alive, found, buckets, depth), "phrases")
+    words, n = indexes.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.count("*")).first()
+    buckets, tasks = 1 + 2 * words // BUCKET_KEYS, 1 + n // TASK_SHARDS
+    alive = written(summed(short_counts(indexes, buckets), buckets, least, False).drop("f"), "alive", **LARGE_ROWS)
+    found = written(summed(long_counts(indexes, alive, tasks, buckets, depth), buckets, least, True), "found", **LARGE_ROWS)
+    return written(spelled(indexes, alive, found, tasks, buckets, depth), "phrases")
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
@@ -377,7 +390,8 @@ def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, size:
     times (a) and not part of a longer phrase found as often; n is the number of words, l and r are the counts of the two parts. Null and empty texts have no words; repeated rows
     count each; no documents give no rows. Columns other than lang and text are ignored.
     """
-    indexes = written(shards(docs, size), "shards")
+    small_batches(docs.sparkSession)
+    indexes = written(shards(docs, size), "shards", **LARGE_ROWS)  # a row is megabytes, and is read by itself
     phrases = frequent(indexes, least, depth)
     totals = indexes.groupBy("lang").agg(F.sum("n_words").alias("n"))
     return scored(phrases, totals).join(whole(phrases), ["lang", "phrase"], "left_semi")

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from hitframe.llm import common, ngram_join, secret_scan, stream_dedup, template_html, toxicity
+from hitframe.llm import collocations, common, ngram_join, secret_scan, stream_dedup, template_html, toxicity
 from tests.llm.test_whole_job import texts
 
 PAGE = "<html><body><nav>menu</nav><article><h1>{}</h1><p>{}</p><p>{}</p><p>{}</p></article><footer>foot</footer></body></html>"
@@ -138,3 +138,27 @@ def test_state_stores_are_opened_for_reading_once_and_with_bounded_memory(spark,
         assert "batchscan" not in got._jdf.queryExecution().toString().lower() and got.count() == n
     assert seen == [stream_dedup.SETTINGS] * 2
     assert before == {k: spark.conf.get(k, None) for k in stream_dedup.SETTINGS}
+
+
+def test_shards_of_phrases_are_read_one_by_one_and_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    seen, write = {}, collocations.written
+
+    def spy(df, name, **options):
+        made = write(df, name, **options)
+        seen[name] = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in made.inputFiles()]
+        return made
+
+    monkeypatch.setattr(collocations, "written", spy)
+    monkeypatch.setattr(collocations, "BUCKET_KEYS", 1 << 17)
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([("en", " ".join(f"w{k}" for k in rng.integers(0, 100_000, 150_000))) for _ in range(12)], "lang string, text string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", *common.BATCHES)}
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        collocations.collocations(docs.coalesce(1), least=10, size=1 << 19)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    shards = [m.row_group(k) for m in seen["shards"] for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in shards) == 12 and max(g.total_byte_size for g in shards) < 6 << 20
+    assert len([m for m in seen["alive"] if m.num_rows]) > 5  # 2 shuffle partitions, 28 buckets
