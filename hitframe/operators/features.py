@@ -187,6 +187,52 @@ def centroid(
     return sums.select(*SIDE, *_centroid_columns(zero))
 
 
+def _undecided(total: str, weights: str, size: str, edges: tuple[float, ...], digits: int) -> Column:
+    """Whether sums in another order could give a ratio on another side of an edge, or another value rounded to ``digits``."""
+    c = F.col(total) / F.col(weights)
+    ulps = (F.col("_n") + 2) * F.lit(4 * 2.0**-53)
+    error = ulps * (F.col(f"{size}x") + F.abs(c) * F.col(f"{size}w")) / F.abs(F.col(weights))
+    scaled = F.abs(c) * 10.0**digits
+    near = F.abs(scaled - F.floor(scaled) - 0.5) <= error * 10.0**digits
+    for edge in edges:
+        near = near | (F.abs(c - edge) <= error)
+    return F.coalesce(near, F.lit(True))
+
+
+def ordered_centroid(
+    hits: DataFrame,
+    order: list[str],
+    x_edges: tuple[float, ...],
+    y_edges: tuple[float, ...],
+    digits: int,
+    x_power: float = 1,
+    y_power: float = 2,
+) -> DataFrame:
+    """Per event side: ``centroid`` with ``library_power``, with the sums of hits added one by one in ``order`` where that decides.
+
+    Sums of floating-point numbers depend on their order, those of partial aggregates on how the rows lie in files and which task ends first. Where an
+    order could move a position over one of the edges, or its value rounded to ``digits``, the hits of the side are added again by a running sum. These sides
+    are broadcast: three hits or more, and within rounding error of an edge.
+    """
+    weighted = library_weights(hits, x_power, y_power)
+    terms = {"_sx": F.col("_px") * F.col("x"), "_wx": F.col("_px"), "_sy": F.col("_py") * F.col("y"), "_wy": F.col("_py")}
+    sizes = {"_axx": "_sx", "_axw": "_wx", "_ayx": "_sy", "_ayw": "_wy"}
+    sums = weighted.groupBy(*SIDE).agg(
+        F.count("*").alias("_n"),
+        *[F.sum(term).alias(name) for name, term in terms.items()],
+        *[F.sum(F.abs(terms[name])).alias(size) for size, name in sizes.items()],
+    )
+    undecided = _undecided("_sx", "_wx", "_ax", x_edges, digits) | _undecided("_sy", "_wy", "_ay", y_edges, digits)
+    sums = sums.withColumn("_again", (F.col("_n") > 2) & undecided)  # two numbers have one sum
+    sides = sums.filter("_again").select(*[F.col(c).alias(f"_{c}") for c in SIDE])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SIDE]  # a side without a number is one too; no filter of nulls, so one exchange serves both
+    again = hits.join(F.broadcast(sides), same, "left_semi")
+    so_far = Window.partitionBy(*SIDE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = library_weights(again, x_power, y_power).select(*SIDE, *order, *[F.sum(term).over(so_far).alias(name) for name, term in terms.items()])
+    last = running.groupBy(*SIDE).agg(F.max_by(F.struct(*terms), F.struct(*order)).alias("_last")).select(*SIDE, "_last.*")
+    return sums.filter("NOT _again").select(*SIDE, *terms).unionByName(last).select(*SIDE, *_centroid_columns("null"))
+
+
 def strongest_centroid(
     hits: DataFrame, x_power: float = 1, y_power: float = 2, sum_rows_cols: bool = False, zero: str = "zero"
 ) -> DataFrame:

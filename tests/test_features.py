@@ -1,11 +1,17 @@
 from __future__ import annotations
 
 import math
+import os
 import random
+from datetime import datetime
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import workload
 from hitframe.operators import features, filters, slabs
 from hitframe.plans.coincidence import side_features
 from tests.helpers import by_event, by_side, hit, hits
@@ -57,6 +63,26 @@ def test_centroid_on_an_edge_has_the_power_of_the_library(spark):
     assert cy == (w * 10.5 + w * 1.5) / (w + w) != by_side(features.centroid(h), "cy")[(0, 1)][0]
 
 
+def test_region_on_an_edge_is_decided_by_the_order_of_the_table(spark, folder):
+    rng, rows = random.Random(5), []
+    for event in range(600):  # sides that lie on cy = 6: two pairs of equal energies on both sides of it
+        a, b = rng.sample(range(1, 51), 2)
+        side = [(event or None, part, n, datetime(2000, 1, 1), "F", float(e)) for n, (part, e) in enumerate([(11, a), (19, a), (11, b), (19, b)])]
+        rng.shuffle(side)
+        rows.append(side)
+    names = ["l_orderkey", "l_partkey", "l_linenumber", "l_shipdate", "l_linestatus", "l_quantity"]
+    os.makedirs(f"{folder}/lineitem.parquet")
+    for k in range(4):  # a hit of every side in each file
+        pq.write_table(pa.table(dict(zip(names, map(list, zip(*(side[k] for side in rows)))))), f"{folder}/lineitem.parquet/{k}.parquet")
+    con = duckdb.connect()
+    con.sql("SET threads = 1")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+    wanted = con.sql(workload.ORACLES["f07_region_of_interest"]).fetchall()
+    got = workload.QUERIES["f07_region_of_interest"](spark, folder).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(wanted, key=str)
+    assert 10 < len(wanted) < 590
+
+
 def test_row_column_centroid_without_one_type(spark):
     h = hits(spark, [hit(kind="time", energy=2, x=3)])
     assert by_side(features.centroid(h, sum_rows_cols=True), "cx", "cy") == {(0, 1): (3.0, None)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hitframe.operators import features, filters, timing
-from workload.fixtures import hits, hits_a, hits_b, table, with_views
+from workload.fixtures import PLACE, hits, hits_a, hits_b, table, with_views
 from workload.registry import query
 
 
@@ -148,8 +148,9 @@ def f06(spark, sf):
     ),
 )
 def f07(spark, sf):
-    c = features.centroid(hits_a(spark, sf), library_power=True)
-    inside = c.filter(filters.region_of_interest("cx", "cy", (5, 15), (6, 18)))
+    x_range, y_range = (5, 15), (6, 18)
+    c = features.ordered_centroid(hits_a(spark, sf, placed=True), PLACE, x_range, y_range, 6)
+    inside = c.filter(filters.region_of_interest("cx", "cy", x_range, y_range))
     return inside.select("event_id", "side", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 

@@ -98,8 +98,13 @@ def epoch_seconds(column: str):
     return epoch_days(column) * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The place of a row in a table: ``hits(..., placed=True)`` has these columns.
+PLACE = ["file", "row"]
+
+
+def hits(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")] if placed else []
     return line.select(
         F.floor(F.col("l_orderkey") / 1000000).cast("int").alias("file_id"),
         F.col("l_orderkey").alias("event_id"),
@@ -108,6 +113,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         (epoch_seconds("l_shipdate") * 1000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("time"),
         F.col("l_quantity").alias("energy"),
         (F.col("l_partkey") % 256).cast("int").alias("channel"),
+        *place,
     )
 
 
@@ -152,10 +158,10 @@ def map_b(spark: SparkSession) -> DataFrame:
 MAP_ROWS = 256
 
 
-def hits_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hits_a(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
     from hitframe.operators.lookups import with_channels
 
-    return with_channels(hits(spark, sf_dir), map_a(spark), rows=MAP_ROWS)
+    return with_channels(hits(spark, sf_dir, placed), map_a(spark), rows=MAP_ROWS)
 
 
 def hits_b(spark: SparkSession, sf_dir: str) -> DataFrame:
